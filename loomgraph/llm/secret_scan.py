@@ -37,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # runs are maximal, so this equals "+
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres|mysql|mongodb|amqp|redis)://[A-Za-z0-9._:@-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
-IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|client_?id|account_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.ASCII)
+IDENTIFIER = re.compile(r"\b(?:user(?:_?name|_?id)?|login|client_?id|account_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.ASCII)
 BREAK = re.compile(r"\n\s*\n")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 

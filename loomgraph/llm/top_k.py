@@ -143,6 +143,7 @@ def top_k(vectors: DataFrame, query_rows, k: int = 5, shard_rows: int = SHARD_RO
     else:
         kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
         floors = queries.join(kth, "query_id", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("kth").cast("double")).otherwise(F.lit(float("-inf"))))
+        floors = materialize(floors, "topk-floors")
         other = floors.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("to") != F.col("shard"))
         there = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         pairs = there.groupBy("dim", "shard", "block").cogroup(other.select("query_id", "v", "dim", F.col("to").alias("shard"), "block", "floor").groupBy("dim", "shard", "block"))
