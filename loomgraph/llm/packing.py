@@ -14,7 +14,10 @@ rank within their length.
 from __future__ import annotations
 
 import bisect
+import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,6 +30,7 @@ from loomgraph.session import materialize, rank_within, ship_package
 CAPACITY = 2048
 CACHE_WORDS = 400_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
 
 
 class WordIds(dict):
@@ -38,17 +42,21 @@ class WordIds(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = np.asarray(ids, dtype="<u4").tobytes()
+        found = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) < 64:
             self[word] = found
         return found
 
 
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 _ENCODERS: dict[str, tuple] = {}
 
 
@@ -58,7 +66,6 @@ def encoder(path: str):
     Pre-tokens are cut by the byte-level pattern and looked up in a bounded cache. A text in which a special token
     of the file is spelled out goes to the tokenizer whole, so its own rule for those holds."""
     if path not in _ENCODERS:
-        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
@@ -68,8 +75,8 @@ def encoder(path: str):
 
         def encode(text: str) -> bytes:
             if any(s in text for s in special):
-                return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            return b"".join(map(words.__getitem__, split(text)))
+                return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+            return b"".join(map(words.__getitem__, (SPLIT_ASCII if text.isascii() else split)(text)))
 
         _ENCODERS[path] = (encode,)
     return _ENCODERS[path][0]
