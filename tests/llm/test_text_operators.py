@@ -270,6 +270,38 @@ def test_near_duplicates_of_nothing(no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0 and near_dedup.one_of_each(no_docs).count() == 0
 
 
+def mixed_groups():
+    """Forty texts share a template below the threshold, two of them are near copies; twelve variants are linked to each other."""
+    import random
+
+    rng = random.Random(9)
+    own = iter(f"w{i}" for i in range(10**6))
+    prose = lambda n: [next(own) for _ in range(n)]
+    template, base = prose(90), prose(150)
+    texts = [template + prose(60) for _ in range(40)]
+    near = list(texts[20])
+    near[-1] = next(own)
+    texts.append(near)
+    for i in range(12):
+        words = list(base)
+        words[10 * i] = next(own)
+        texts.append(words)
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_links_within_large_mixed_groups_equal_brute_force(spark, monkeypatch):
+    rows = mixed_groups()
+    classes, links = brute_classes(rows)
+    degree = Counter(i for link in links for i in link)
+    assert sorted(degree.values()) == [1, 1] + [11] * 12
+    for postings in (near_dedup.POSTINGS, 300):  # one bucket, many buckets
+        monkeypatch.setattr(near_dedup, "POSTINGS", postings)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.n_links for r in got} == {i: degree[i] for i, _ in rows}
+        assert partition((r.doc_id, r.class_id) for r in got) == partition(zip([i for i, _ in rows], classes))
+
+
 def test_tuning_follows_the_threshold():
     for j in (0.3, 0.5, 0.8):
         bands, rows = near_dedup.tune(j)
