@@ -302,6 +302,24 @@ def test_links_within_large_mixed_groups_equal_brute_force(spark, monkeypatch):
         assert partition((r.doc_id, r.class_id) for r in got) == partition(zip([i for i, _ in rows], classes))
 
 
+def test_contained_texts_of_any_size_are_linked_and_go(spark):
+    own = iter(f"w{i}" for i in range(10**6))
+    prose = lambda n: [next(own) for _ in range(n)]
+    whole, note = prose(320), prose(14)
+    texts = [whole, whole[:200], whole[60:90], whole[100:104]]  # ids 0 to 3: 1.6 times, 11 times and 159 times as long
+    texts += [prose(40) + note + prose(30 + 9 * i) for i in range(6)] + [note]  # 4 to 9 have only 10 in common
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    _, links = brute_classes(rows, ratio=0)
+    degree = Counter(i for link in links for i in link)
+    assert degree[0] == 3 and degree[10] == 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: degree[i] for i in range(11)}
+    assert {i for i, r in got.items() if r.kept} == {0, 4, 5, 6, 7, 8, 9}
+    assert {got[i].class_id for i in range(4)} == {0} and {got[i].class_id for i in range(4, 11)} == {9}
+    assert {r.doc_id for r in near_dedup.one_of_each(docs).collect()} == {0, 4, 5, 6, 7, 8, 9}
+
+
 def test_tuning_follows_the_threshold():
     for j in (0.3, 0.5, 0.8):
         bands, rows = near_dedup.tune(j)
