@@ -320,6 +320,22 @@ def test_contained_texts_of_any_size_are_linked_and_go(spark):
     assert {r.doc_id for r in near_dedup.one_of_each(docs).collect()} == {0, 4, 5, 6, 7, 8, 9}
 
 
+def edge_pairs():
+    """Sixty pairs that share exactly 140 of the smaller's 200 shingles, the larger having 280, 300 or 800."""
+    own = iter(f"w{i}" for i in range(10**6))
+    prose = lambda n: [next(own) for _ in range(n)]
+    texts = []
+    for i in range(60):
+        shared = prose(142)
+        texts += [shared + prose(60), shared + prose((280, 300, 800)[i % 3] - 140)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_pairs_at_the_threshold_are_found_at_every_size_ratio(spark):
+    got = near_dedup.near_duplicates(spark.createDataFrame(edge_pairs(), "doc_id long, text string")).collect()
+    assert Counter((r.doc_id // 2, r.n_links, r.class_size) for r in got) == {(i, 1, 2): 2 for i in range(60)}
+
+
 def test_tuning_follows_the_threshold():
     for j in (0.3, 0.5, 0.8):
         bands, rows = near_dedup.tune(j)
