@@ -166,6 +166,30 @@ def test_special_token_strings(spark):
     check_packing(packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer_path()).collect(), texts)
 
 
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode, rng = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path()), random.Random(4)
+    pools = ["abcdefgh ", "  \n\t\r\x0b\x85\xa0\u2028", "'sStTrReElLdDvVmM ", "0123½²٣ⅷ", "éñüßíó ", "日本語한", "!?.,;:-_\"'()", "\u0300\u0301\u200d", "🙂🚀", "etaoinshr"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 40))) for _ in range(20000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(20)) for _ in range(2000)]
+    texts += [" " * 1_500_000, "\n" * 1_500_000 + "x", "a" * 300_000, "<|endoftext|>", "a<|endoftext|> b"]
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text) == np.array(found.ids, dtype="<u4").tobytes(), text[:50]
+
+
+def test_other_tokenizer_files_have_no_ranks():
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.merge_ranks(spec)[b" the"] == spec["model"]["vocab"]["Ġthe"]
+    spec["normalizer"] = {"type": "Lowercase"}
+    assert packing.merge_ranks(spec) is None
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert packing.merge_ranks(json.load(f)) is None
+
+
 def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, tokenizer_path()).count() == 0
 
