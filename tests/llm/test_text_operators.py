@@ -145,8 +145,51 @@ def test_scores_of_all_documents(spark, docs, rows, no_docs):
     assert lm_scoring.cross_entropy(no_docs, labels).count() == 0
     none = lm_scoring.cross_entropy(docs, labels.limit(0)).collect()
     assert all(r.cross_phrases == r.n_words for r in none)
-    grouped = lm_scoring.cross_entropy(docs, labels, group_chars=20_000).collect()
-    assert Counter((r.doc_id, r.n_words, r.own_phrases) for r in grouped) == Counter((r.doc_id, r.n_words, r.own_phrases) for r in got)
+
+
+def brute_cross(rows, good, order):
+    """Phrases of each row against all reference rows but its own: of up to `order` words, or stretches whose windows all occur."""
+    every = {(r[0], r[1]): words(r[1]) for r in rows if r[0] in good}
+    where = defaultdict(set)
+    for owner, w in every.items():
+        for k in range(1, order + 1):
+            for i in range(len(w) - k + 1):
+                where[tuple(w[i : i + k])].add(owner)
+    out = []
+    for r in rows:
+        w, i, c = words(r[1]), 0, 0
+        occurs = lambda j, k, w=w, r=r: j + k <= len(w) and bool(where.get(tuple(w[j : j + k]), set()) - {(r[0], r[1])})
+        while i < len(w):
+            k = next((k for k in range(order, 0, -1) if occurs(i, k)), 1)
+            while k >= order and occurs(i + k - order + 1, order):
+                k += 1
+            i, c = i + k, c + 1
+        out.append((r[0], len(w), c))
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("order", "batch_words", "bucket_grams"), [(5, 500_000, 2_000_000), (3, 400, 700), (2, 100, 10**6)])
+def test_cross_phrases_equal_brute_force_over_the_whole_reference(spark, docs, rows, order, batch_words, bucket_grams):
+    good = {i for i in range(0, 60) if i % 3}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(0, 60)] + [(None, 1, 0), (1, None, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    got = lm_scoring.cross_entropy(docs, labels, order, batch_words, bucket_grams).collect()
+    assert Counter((r.doc_id, r.n_words, r.cross_phrases) for r in got) == brute_cross(rows, good, order)
+
+
+def test_cross_phrases_equal_one_automaton_of_the_whole_reference(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, texts[0]), (101, "zz " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    automaton = lm_scoring.SuffixAutomaton()
+    for t in texts[:30]:
+        automaton.add(words(t))
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy(docs, labels, order=6).collect()}
+    for i in range(30, 60):  # no phrase here is as long as 6 words
+        assert got[i].cross_phrases == automaton.phrases(words(texts[i]))
+    assert got[100].cross_phrases == 1 and got[101].cross_phrases == 5000 and got[0].cross_phrases > 1
 
 
 # 6 ---------------------------------------------------------------------------------------------
