@@ -45,15 +45,19 @@ def materialize(df: DataFrame, label: str = "table", partition_by: str | None =
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors don't matter."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    # the write's plan is garbage now; once the JVM has noticed, Spark deletes its shuffle files
-    spark.sparkContext._jvm.System.gc()
+    _write(df, path, partition_by)
     read = spark.read.schema(df.schema).parquet(path)
+    # by the next call nothing holds the write's plan any more; once the JVM has noticed, Spark deletes its shuffle files
+    spark.sparkContext._jvm.System.gc()
     read._loom_path = path
     return read
 
 
+def _write(df: DataFrame, path: str, partition_by: str | None) -> None:
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_loom_path", None)
@@ -95,18 +99,13 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def salts(spark: SparkSession) -> int:
-    """Salt buckets for a hot key: as many as shuffle partitions, so they grow with the cluster's setting."""
-    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 64) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, salted_by=None) -> DataFrame:
     """Dense 0-based position `out` of each row within `keys`, without one task ever holding a whole key.
 
-    Rows of a key are spread over `buckets` salted parts by a hash of `order`; each part is numbered alone and
-    shifted by the sizes of the parts before it. The position is a total, repeatable order: (salt, order)."""
+    Rows of a key are spread over salted parts (`salted_by`, or 1024 by a hash of `order`, whatever the cluster); each part is
+    numbered alone and shifted by the sizes of the parts before it. The position is a total, repeatable order: (salt, order)."""
     salt, n, base = "__salt", "__n", "__base"
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)))
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(1024)) if salted_by is None else salted_by)
     inside = salted.withColumn(out, F.row_number().over(Window.partitionBy(*keys, salt).orderBy(*order)).cast("long") - 1)
     sizes = salted.groupBy(*keys, salt).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*keys).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
