@@ -47,7 +47,8 @@ def materialize(df: DataFrame, label: str = "table", partition_by: str | None =
     path = scratch_path(spark, label)
     _write(df, path, partition_by)
     read = spark.read.schema(df.schema).parquet(path)
-    # by the next call nothing holds the write's plan any more; once the JVM has noticed, Spark deletes its shuffle files
+    # Spark deletes the write's shuffle files once the JVM sees that nothing holds its plan, which the scheduler does until the next job
+    spark.read.schema("x int").parquet(path).limit(0).count()
     spark.sparkContext._jvm.System.gc()
     read._loom_path = path
     return read
