@@ -58,3 +58,16 @@ def name_score(name: Column, query: str, weight: float = 1.0) -> Column:
         F.when(compact == squeezed, 14.0).otherwise(0.0)
         + F.when(F.lower(name) == asked, 6.0 * weight).when(F.contains(F.lower(name), F.lit(asked)), 3.0 * weight).otherwise(0.0)
     )
+
+
+def sparse_terms(text: Column) -> Column:
+    """Lower-cased runs of letters or of digits, cut also where small letters meet capitals and before the last of several capitals."""
+    words = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z0-9]+)"), F.lit(1)), " ")
+    for pattern in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
+        words = F.regexp_replace(words, pattern, "$1 $2")
+    return F.filter(F.split(F.lower(words), " "), lambda x: x != "")
+
+
+def scaled(value: Column, total: Column, observed: Column) -> Column:
+    """A count of a partial scan carried over to the whole: ceil(value * total / observed)."""
+    return F.when((observed == 0) | (value == 0), value).otherwise(F.ceil(value.cast("double") * total / observed)).cast("long")

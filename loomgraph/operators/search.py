@@ -6,27 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.session import materialize
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key), F.explode(T.terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term and the number of rows that hold it: each row gives a term once, so one shuffle by term suffices."""
+    return docs.select(F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def bm25_scores(docs: DataFrame, query_terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, key, score) of query_terms(query, term): a bag-of-words BM25 over all documents.
 
-    Query terms are few against the corpus; only their postings survive the semi-join before any aggregation."""
-    split = docs.select(F.col(key), T.terms(F.col(text)).alias("terms"))
-    split = split.select(key, F.size("terms").alias("len"), "terms")  # below the explode, or it would be sized once per term
-    lengths = docs.select(F.size(T.terms(F.col(text))).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg(F.greatest(F.lit(1), "len")).alias("average"))
+    Texts are split once: a document keeps its length and the counts of its asked terms, written as one row, from which the number
+    and mean length of documents and the document frequencies follow. Only asked terms survive, before any shuffle of terms."""
     asked = query_terms.select("term").distinct()
-    tf = split.select(key, "len", F.explode("terms").alias("term")).join(asked, "term", "left_semi")
-    tf = tf.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    split = docs.select(F.col(key), T.terms(F.col(text)).alias("terms")).select(key, F.size("terms").alias("len"), "terms")  # sized below the explode
+    counted = split.select(key, "len", F.explode_outer("terms").alias("term")).join(asked.withColumn("wanted", F.lit(1)), "term", "left")
+    counted = materialize(counted.groupBy(key, "len", F.when(F.col("wanted") == 1, F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf")), "terms")
+    lengths = counted.select(key, "len").distinct()
+    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg(F.greatest(F.lit(1), "len")).alias("average"))
+    tf = counted.filter("term is not null")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = tf.join(df, "term").join(query_terms.distinct(), "term").crossJoin(F.broadcast(stats))
     part = T.bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("docs"), F.col("average"))
@@ -94,3 +97,12 @@ def diverse(candidates: list[dict], k: int, per_file: int = 2, file_cost: float
         out.append(best)
         left.remove(best)
     return out
+
+
+def preselect(docs: DataFrame, weights: dict[str, float], most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The `most` rows that hold most of the weighted terms (ties by key): one pass and a bounded top, before anything dearer."""
+    low = T.ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    score = F.lit(0.0)
+    for term, weight in weights.items():
+        score = score + F.when(F.contains(low, F.lit(term)), weight).otherwise(0.0)
+    return docs.select(key, F.round(score, 4).alias("score")).orderBy(F.desc("score"), key).limit(most)

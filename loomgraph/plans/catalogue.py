@@ -252,7 +252,7 @@ def term_counts(spark, d):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term")
 def document_frequency(spark, d):
-    return search.document_frequency(search.term_counts(tables.table(spark, d, "documents")))
+    return search.document_frequency(tables.table(spark, d, "documents"))
 
 
 _BM = f"""WITH q AS (SELECT DISTINCT item_id AS query, unnest({TERMS}) AS term FROM benchmark), t AS (SELECT doc_id, {TERMS} AS ts FROM documents),
@@ -450,3 +450,6 @@ def snapshot_roundtrip(spark, d):
 def events_sessions(spark, d):
     """An extension: sessions of events at most 30 minutes apart."""
     return sessions.sessions(tables.table(spark, d, "events"))
+
+
+from loomgraph.plans import versions  # noqa: E402, F401  registers its queries
