@@ -2,17 +2,20 @@
 
 A passage is `length` consecutive words (runs of word characters, lower-cased). Of every such window the suffix at
 its minimiser (the k-gram with the smallest hash, the leftmost of equals) is retained: equal windows retain the
-suffix at the same place, and one suffix serves a run of windows, so about one word in twenty is kept. Retained suffixes
-are brought in order by the fingerprint of their first k words and then by that of their context, which is the
-stretch of words, left and right of the minimiser, that its windows cover. Neighbours with equal contexts match over the whole
-context. Where neighbours share the k-gram but not the context, the match is extended left and right word by word: the
-windows of one representative per distinct context are compared by fingerprint. The result is exact (up to 64+64-bit
+suffix at the same place, and one suffix serves a run of windows, so about one word in twenty is kept.
+
+Equal windows thus meet at equal anchors (the retained suffix's first k words). Instead of sorting suffixes by words and extending
+matches of neighbours to the left and right, which finds for each suffix only its best neighbour on one side, they are grouped by
+the anchor's fingerprint and by that of the context, the stretch left and right of the anchor that the suffix's windows cover:
+suffixes of one context match over all of it, and of each distinct context of an anchor one representative's windows are
+compared by fingerprint with those of the others, on both sides at once. So the result is exact (up to 64+64-bit
 fingerprints): every window of `length` words that occurs more than once, and only those.
 
 Of equal windows the first (by row, then place) stays; the others are what deduplication drops.
 
 * Empty table, null or empty text, texts shorter than `length` words: no rows.
-* Null or repeated doc_id: every row counts as a document of its own; a row that is there twice repeats itself.
+* Null or repeated doc_id: every row counts as a document of its own; a row that is there twice repeats itself, and of its copies
+  one keeps its text in `without_repeats`.
 * Very long texts are processed whole. Further columns are ignored.
 """
 
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.words import U64, Fingerprints, scramble, word_hashes
+from loomgraph.llm.words import U64, WORD, Fingerprints, scramble, texts_hashes, word_hashes
 from loomgraph.session import HEAVY_SHARE, join_hot, materialize, ship_package
 
 LENGTH = 50
@@ -59,11 +62,12 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts, owner, words = [], [], []
-            for i, text in enumerate(batch["text"].array):
-                x = word_hashes(text if isinstance(text, str) else None)
-                parts.append(retained(x, length, gram))
-                owner += [i] * len(parts[-1][2])
-                words += [len(x)] * len(parts[-1][2])
+            for i in range(0, len(batch), 256):  # some hundred texts at a time keep memory flat
+                x, at = texts_hashes(batch["text"].iloc[i : i + 256].tolist())
+                for j, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    parts.append(retained(x[lo:hi], length, gram))
+                    owner += [i + j] * len(parts[-1][2])
+                    words += [hi - lo] * len(parts[-1][2])
             if not owner:
                 continue
             anchor, context, first, count = (np.concatenate(p) for p in zip(*parts))
@@ -185,11 +189,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text) of all documents with the words of later occurrences cut out of their texts."""
+    """(doc_id, text) of all documents with the words of later occurrences cut out of their texts.
+
+    Rows equal in doc_id and text are interchangeable: the n-th of them takes the n-th of their drops."""
     ship_package(docs.sparkSession)
-    found = repeated_passages(docs, length, gram).groupBy("doc_id", "text_key").agg(F.max("drops").alias("drops"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(*order))
+    found = repeated_passages(docs, length, gram).withColumn("nth", nth("drops"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").withColumn("nth", nth("text_key")).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key")) & (F.col("d.nth") == F.col("f.nth"))
     joined = keyed.join(found.alias("f"), on, "left").select("d.doc_id", "d.text", "f.drops")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,18 +206,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return joined.mapInPandas(run, "doc_id long, text string")
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where in text the words of its lower-cased form are; lower-casing may lengthen a text or split a word."""
+    low = text.lower()
+    found = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return found
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(origin[a], origin[b - 1] + 1) for a, b in found]
+
+
 def cut(text: str | None, drops: str | None) -> str | None:
     """text without the word ranges of `drops`."""
     if not isinstance(text, str) or not isinstance(drops, str) or not drops:
         return text if isinstance(text, str) else None
-    from loomgraph.llm.words import WORD
-
-    # ranges are in words of the lower-cased text, which has as many words as the text itself in all but rare foldings
-    at = [m.span() for m in WORD.finditer(text)]
-    out, last = [], 0
+    at, out, last = word_spans(text), [], 0
     for part in drops.split(","):
         a, b = map(int, part.split(":"))
-        if b <= len(at):
-            out.append(text[last : at[a][0]])
-            last = at[b - 1][1]
+        out.append(text[last : max(last, at[a][0])])
+        last = at[b - 1][1]
     return "".join([*out, text[last:]])

@@ -69,6 +69,14 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of x; sorting is several times as fast here as the hashing that np.unique does."""
+    x = np.sort(x)
+    first = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 _POWERS = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
 
 
@@ -110,5 +118,5 @@ def gram_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     out = []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
         own = every[lo : hi - k + 1] if hi - lo >= k else grams(x[lo:hi], hi - lo) if hi > lo else every[:0]
-        out.append(np.unique(own))
+        out.append(distinct(own))
     return out
