@@ -4,9 +4,11 @@ An Aho-Corasick automaton over the vocabulary lists every piece that ends at eac
 score and the piece count of that best path only, without a lattice. Ties follow the tokenizer: among equal scores the
 path found first wins, which is the piece that starts earliest; a character without a piece of its own may be taken as unknown
 at the least score minus 10; an unknown stretch counts as its UTF-8 bytes where the vocabulary has byte pieces,
-else as one token. Spaces become U+2581, which starts every word, and words are independent; their counts are cached.
+else as one token. Spaces become U+2581. Where no piece runs from a word into the next space, stretches of spaces with the word
+after them are independent, and their counts are cached; else a text is one stretch.
 
-The vocabulary is read from the file named: a sentencepiece model's pieces and scores.
+The vocabulary is read from the file named: a sentencepiece model's pieces and scores. Its control, unknown, unused and byte
+pieces are never matched in a text, whatever is spelled there. Scores are summed as doubles.
 
 * Empty table: an empty result. Null or empty text: 0 tokens, score 0. Very long texts and words are processed whole.
 * Null or repeated doc_id: each row is counted for itself. Further columns are ignored.
@@ -14,6 +16,7 @@ The vocabulary is read from the file named: a sentencepiece model's pieces and s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,26 +28,30 @@ from loomgraph.session import ship_package
 CACHE_WORDS = 600_000
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
+STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+INSIDE = re.compile(f"[^{MARK}]{MARK}")
 
 
-def vocabulary(path: str) -> list[tuple[str, float]]:
+def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
+    """The pieces that texts are made of, with their scores, and whether unknown characters fall back to bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    return [(model.id_to_piece(i), float(model.get_score(i))) for i in plain], sum(map(model.is_byte, ids)) == 256
 
 
 class UnigramCounter(dict):
-    """word -> (tokens, score); a cache that starts anew at CACHE_WORDS words."""
+    """stretch -> (tokens, score); a cache that starts anew at CACHE_WORDS entries."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool | None = None):
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = False):
         import ahocorasick
 
         super().__init__()
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()
-        names = {p for p, _ in pieces}
-        self.bytes = all(f"<0x{b:02X}>" in names for b in range(256)) if byte_fallback is None else byte_fallback
+        self.bytes = byte_fallback
         for piece, score in pieces:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
@@ -52,6 +59,7 @@ class UnigramCounter(dict):
                     self.single.add(piece)
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.separable = not any(INSIDE.search(piece) for piece, _ in pieces)
 
     def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) >= CACHE_WORDS:
@@ -88,11 +96,16 @@ class UnigramCounter(dict):
     def count(self, text: str | None) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        marked = text.replace(" ", MARK)
-        words = (marked[1:] if marked[0] == MARK else marked).split(MARK)
+        marked = MARK + text.replace(" ", MARK)
+        if not self.separable:
+            words = [marked]
+        elif MARK + MARK in marked or marked[-1] == MARK:
+            words = STRETCH.findall(marked)
+        else:
+            words = [MARK + w for w in marked[1:].split(MARK)]
         tokens, score = 0, 0.0
         for word in words:
-            n, s = self[MARK + word]
+            n, s = self[word]
             tokens += n
             score += s
         return tokens, score
@@ -104,7 +117,7 @@ _COUNTERS: dict[str, UnigramCounter] = {}
 def counter(path: str) -> UnigramCounter:
     if path not in _COUNTERS:
         _COUNTERS.clear()
-        _COUNTERS[path] = UnigramCounter(vocabulary(path))
+        _COUNTERS[path] = UnigramCounter(*vocabulary(path))
     return _COUNTERS[path]
 
 
