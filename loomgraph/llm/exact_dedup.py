@@ -10,6 +10,7 @@ Texts are equal when they are identical after lower-casing A-Z only; a null text
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 
@@ -29,6 +30,8 @@ def digest_of(text):
 class DigestIndex:
     """Every digest seen so far, as an external table of `buckets` hash buckets, sorted by digest within a bucket.
 
+    Entries carry the name of the batch that brought them. A batch doesn't count its own entries as known and appends only those
+    that are missing, so a batch whose result was lost can be run again under its name and gives the same answer.
     The bucketing lets the anti-join of a new batch read the index without shuffling or sorting it when a bucket has
     one file; after appends Spark sorts the (already co-located) buckets. `buckets` is fixed when the index is made."""
 
@@ -38,7 +41,7 @@ class DigestIndex:
         self.table = "digest_index_" + re.sub(r"\W", "_", uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex)
         if not spark.catalog.tableExists(self.table):
             spark.sql(
-                f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+                f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
             )
 
@@ -46,14 +49,22 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
-    def unseen(self, digests: DataFrame) -> DataFrame:
-        """Rows of digests(digest, ...) whose digest the index lacks: a sort-merge anti-join on the bucketed key."""
-        return digests.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        if path is None:  # a scratch index leaves no entry in the catalogue
+            atexit.register(self._forget)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add groups(digest, keep_id, group_size); one task writes each bucket, so each append adds a file a bucket."""
+    def _forget(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def unseen(self, digests: DataFrame, batch: str | None = None) -> DataFrame:
+        """Rows of digests(digest, ...) that no other batch brought: a sort-merge anti-join on the bucketed key."""
+        known = self.read() if batch is None else self.read().filter(F.col("batch") != batch)
+        return digests.hint("merge").join(known.select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add those of groups(digest, keep_id, group_size) that are missing; one task writes each bucket, a file for each append."""
         (
-            groups.select("digest", "keep_id", "group_size")
+            self.unseen(groups).select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", self.path).saveAsTable(self.table)
@@ -68,11 +79,11 @@ def digest_groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, known.
 
-    `known` is true where the digest was in the index before; then no row of the batch is kept. The batch's new
-    groups are appended to the index. Only digests and ids are shuffled, never text. A digest with more than
+    `known` is true where another batch brought the digest before; then no row of this one is kept. The new groups are appended
+    to the index under the name `batch`; a run that names its batch can be repeated (see DigestIndex). Only digests and ids are shuffled, never text. A digest with more than
     1/1000 of the rows (at most 1000 of them) is joined by broadcast, all others by a shuffle on the digest."""
     spark = docs.sparkSession
     index = index or DigestIndex(spark)
@@ -81,8 +92,9 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
         "digests",
     )
     groups = materialize(digest_groups(rows), "digest-groups")
-    fresh = materialize(index.unseen(groups), "digest-fresh")
-    index.append(fresh)
+    batch = batch or uuid.uuid4().hex
+    fresh = materialize(index.unseen(groups, batch), "digest-fresh")
+    index.append(fresh, batch)
     marked = groups.join(fresh.select("digest", F.lit(True).alias("fresh")), "digest", "left")
     total = rows.count()
     hot = marked.filter(F.col("group_size") * HEAVY_SHARE > total)
@@ -102,11 +114,11 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """docs without exact copies and without texts the index knows: of each group the row with the largest doc_id.
 
     One shuffle moves the rows by digest; map-side combining keeps one row a digest and task, so a hot text is reduced
-    before the shuffle. Rows that tie on doc_id are ordered by a hash of their text, then lang and source."""
+    before the shuffle. Rows that tie on doc_id are ordered by a hash of their text; of rows that tie on both, any one stays."""
     digest = free_name(docs, "digest__")
     whole = docs.withColumn(digest, F.unhex(digest_of(F.col("text"))))
     order = F.struct(F.col("doc_id"), F.xxhash64("text"))
@@ -114,8 +126,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         F.max_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("row"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     if index is not None:
-        best = materialize(index.unseen(best.withColumnRenamed(digest, "digest")), "dedup-fresh")
-        index.append(best)
+        batch = batch or uuid.uuid4().hex
+        best = materialize(index.unseen(best.withColumnRenamed(digest, "digest"), batch), "dedup-fresh")
+        index.append(best, batch)
     return best.select("row.*")
 
 
