@@ -7,7 +7,8 @@ the targets closely, and a document gets only the two whole numbers around its e
 
 * Empty table: an empty result. Empty, null or blank texts have size 0; they take part and add no words.
 * A source whose documents are all of size 0 has target 0 and gives no copies.
-* Null source: its own source, ordered last. Null or repeated doc_id: each row counts; equal rows are told apart by order only.
+* Null source: its own source, ordered last. Null or repeated doc_id: each row counts; rows equal in doc_id, source and size are
+  interchangeable.
 * Further columns, whatever their names, are carried by `mix` and ignored by `mix_plan`.
 """
 
@@ -21,7 +22,6 @@ from loomgraph.session import free_name, materialize, rank_within
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
-SALTS = 64
 
 
 def text_size(text):
@@ -64,7 +64,7 @@ def offset_of(source, seed: str):
 
 
 def copy_counts(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
-    """rows(source, size, row_key, ...) with source_size, target and copies added.
+    """rows(doc_id, source, size) with source_size, target and copies added.
 
     A document's place in its source's order is the number of smaller documents (from the histogram of sizes, bounded by
     the longest text) plus its salted rank among those of its size, so a source or a size with a third of all rows is
@@ -76,7 +76,8 @@ def copy_counts(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: floa
     plan = smaller.join(sources, smaller["source"].eqNullSafe(sources["source"])).select(
         smaller["source"].alias("p_source"), F.col("size").alias("p_size"), "smaller", "source_size", "target"
     )
-    ranked = rank_within(rows, ["source", "size"], ["row_key"], "place", SALTS)
+    salt = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, 3)  # 4096 parts, as SQL can say too
+    ranked = rank_within(rows, ["source", "size"], ["doc_id"], "place", salt)
     joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("smaller") + F.col("place")
@@ -86,8 +87,7 @@ def copy_counts(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: floa
 
 def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source: one row per document, texts not shuffled."""
-    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
-    rows = materialize(rows.withColumn("row_key", F.coalesce(F.col("doc_id"), F.lit(-1))), "mix-sizes")
+    rows = materialize(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")), "mix-sizes")
     out = copy_counts(rows, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
@@ -98,14 +98,14 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Copies are looked up by (doc_id, source, size); rows equal in all three are interchangeable and share their copies:
     the first ones in order get them. The text is shuffled once, by doc_id."""
     size, nth, copies = (free_name(docs, n) for n in ("mix_size", "mix_nth", "mix_copies"))
+    key = [free_name(docs, n) for n in ("mix_id", "mix_source", "mix_of_size", "mix_place")]
     plan = mix_plan(docs, seed)
     mine = Window.partitionBy("doc_id", "source", "size").orderBy(F.col("copies").desc())
-    plan = plan.withColumn("nth", F.row_number().over(mine)).filter(F.col("copies") > 0).select(
-        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("nth").alias("p_nth"), F.col("copies").alias(copies)
-    )
+    plan = plan.withColumn("nth", F.row_number().over(mine)).filter(F.col("copies") > 0)
+    plan = plan.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "size", "nth"), key)], F.col("copies").alias(copies))
     same = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
     numbered = docs.withColumn(size, text_size(F.col("text"))).withColumn(nth, F.row_number().over(same))
-    on = numbered["doc_id"].eqNullSafe(plan["p_id"]) & numbered["source"].eqNullSafe(plan["p_source"]) & (F.col(size) == F.col("p_size")) & (F.col(nth) == F.col("p_nth"))
+    on = F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("source").eqNullSafe(F.col(key[1])) & (F.col(size) == F.col(key[2])) & (F.col(nth) == F.col(key[3]))
     taken = numbered.join(plan, on)
     again = free_name(docs, "mix_again")
     return taken.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(c) for c in docs.columns])

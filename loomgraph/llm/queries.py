@@ -72,6 +72,37 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM d
 """
 
+_OP5 = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 3) AS salt
+  FROM documents
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, salt, doc_id NULLS FIRST) - 1 AS place FROM d
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight
+  FROM d GROUP BY source
+), r AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio FROM s),
+t AS (SELECT CAST(sum(source_size) AS DOUBLE) AS total FROM s),
+edges AS (SELECT DISTINCT ratio AS upto FROM r UNION ALL SELECT -1.0),
+levels AS (  -- the level if exactly the sources of ratio <= upto are full
+  SELECT upto, (1.5::DOUBLE * any_value(total) - 2.0::DOUBLE * coalesce(sum(source_size) FILTER (ratio <= upto), 0)) / sum(weight) FILTER (ratio > upto) AS level,
+         min(ratio) FILTER (ratio > upto) AS above
+  FROM edges, r, t GROUP BY upto
+), chosen AS (SELECT min(level) AS level FROM levels WHERE level >= upto AND level < above),
+g AS (
+  SELECT source, source_size,
+         CASE WHEN total = 0 THEN 0.0::DOUBLE WHEN level IS NULL THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, level * weight) END AS target,
+         CAST(CAST('0x' || substr(md5('mix:' || coalesce(source, chr(0) || 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS shift
+  FROM r, t, chosen
+), c AS (
+  SELECT p.doc_id, p.size, g.source_size, g.target, p.place, g.shift, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, CAST((floor(rate * (place + 1) + shift) - floor(rate * place + shift)) * size AS BIGINT) AS taken FROM c
+"""
+
 _OP8 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -88,4 +119,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op8_exact_top_k": _OP8}
+    return {"op4_exact_dedup": _OP4, "op5_source_mixing": _OP5, "op8_exact_top_k": _OP8}
