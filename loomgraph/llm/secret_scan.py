@@ -36,7 +36,8 @@ ASSIGN = re.compile("(?:" + "|".join(map(_either, ("password", "passwd", "secret
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # runs are maximal, so this equals "+" with short matches dropped
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres|mysql|mongodb|amqp|redis)://[A-Za-z0-9._:@-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
+URL = re.compile(r"(?:https?|jdbc:[a-z]+|postgres|mysql|mongodb|amqp|redis)://[A-Za-z0-9._:@-]+")
+HOST = re.compile(r"(?<![a-z0-9.-])[a-z0-9.-]+(?=:([0-9]{2,5})\b)")  # only at the start of a run, so a long one is read once
 IDENTIFIER = re.compile(r"\b(?:user(?:_?name|_?id)?|login|client_?id|account_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.ASCII)
 BREAK = re.compile(r"\n\s*\n")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
@@ -57,9 +58,21 @@ def _near(spans: list[tuple[int, int]], start: int, end: int, reach: int) -> boo
     return (i < len(spans) and spans[i][0] - end <= reach) or (i > 0 and start - spans[i - 1][1] <= reach)
 
 
+def endpoints_of(text: str) -> list[tuple[int, int]]:
+    """URLs, and hosts of two labels or more with a port, in order and without overlap."""
+    found = [(m.start(), m.end()) for m in URL.finditer(text)]
+    starts = [s for s, _ in found]
+    for m in HOST.finditer(text):
+        name = m[0].rpartition("..")[2].lstrip(".-")
+        i = bisect.bisect_right(starts, m.end()) - 1
+        if "." in name and not name.endswith(".") and (i < 0 or found[i][1] <= m.end() - len(name)):
+            found.append((m.end() - len(name), m.end(1)))
+    return sorted(found)
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
     """Weak parts that complementary parts of their scope confirm. Without a part that anchors a credential there is nothing to link."""
-    endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if ":" in text else []
+    endpoints = endpoints_of(text) if ":" in text else []
     ids = [(m.start(), m.end()) for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     if not (base or endpoints or ids):
         return []
@@ -73,8 +86,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
         return not i or highest[i - 1] <= s
 
     def mixed(s: int, e: int) -> bool:
-        word = text[s:e]
-        return bool(DIGIT.search(word) and LETTER.search(word)) and not any(a < e and s < b for a, b in endpoints[max(0, bisect.bisect_left(endpoints, (s, 0)) - 1) :][:2])
+        i = bisect.bisect_left(endpoints, (s, 0))
+        return bool(DIGIT.search(text, s, e) and LETTER.search(text, s, e)) and not any(a < e and s < b for a, b in endpoints[max(0, i - 1) : i + 1])
 
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text) if free(m.start(), m.end()) and mixed(m.start(), m.end())]
     endpoints, ids = [x for x in endpoints if free(*x)], [x for x in ids if free(*x)]
