@@ -35,7 +35,9 @@ _CLEAN = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> str:
-    return _CLEAN.sub(" ", text.lower()).strip()
+    """The text's words, lower-cased; empty unless one holds a letter (numerals such as 2/3 or VII as one character don't count)."""
+    clean = _CLEAN.sub(" ", text.lower()).strip()
+    return clean if any(map(str.isalpha, clean)) else ""
 
 
 def held_out(doc_id):
@@ -47,6 +49,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slice_chars: int = SLIC
 
     The first pass finds the smallest hashes per language without reading text (a window limit applied per task before
     the shuffle); the second reads the texts of those rows alone."""
+    docs = docs.select("doc_id", "lang", "text")
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("pick_", F.xxhash64(F.col("doc_id"), F.lit(11)))
     first = Window.partitionBy("lang").orderBy("pick_")
     picked = usable.select("lang", "pick_").withColumn("nth_", F.row_number().over(first)).filter(F.col("nth_") <= sample_rows).groupBy("lang").agg(F.max("pick_").alias("last_"))
