@@ -52,26 +52,45 @@ def names(schema: str) -> list[str]:
 
 
 def packed(rows: DataFrame, batch_chars: int) -> DataFrame:
-    """rows(text, ...) as (batch, and an array of each column), about batch_chars of text or BATCH_ROWS rows each; nothing is shuffled."""
-    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
+    """rows(text, ...) as (batch, lengths, text, chars and an array of each further column), about batch_chars of text or BATCH_ROWS rows each.
+
+    Texts are one zstandard block, which texts_of() opens, so that batches are cheap to move. Nothing is shuffled here."""
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if f.name != "text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
         from pyspark import TaskContext
 
-        number, held, chars = TaskContext.get().partitionId() << 32, [], 0
+        number, held, texts, chars = TaskContext.get().partitionId() << 32, [], [], 0
+        squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"batch": [number], **{name: [list(values)] for (name, _), values in zip(kinds, zip(*held))}})
+            lengths = np.fromiter((len(t) if isinstance(t, str) else -1 for t in texts), dtype="<i4", count=len(texts))
+            whole = squeeze("".join(t for t in texts if isinstance(t, str)).encode("utf-8", "surrogatepass"))
+            columns = zip(*held) if kinds else []
+            return pd.DataFrame({"batch": [number], "lengths": [lengths.tobytes()], "text": [whole], "chars": [chars], **{name: [list(values)] for (name, _), values in zip(kinds, columns)}})
 
         for frame in frames:
             columns = [[None if pd.isna(i) else int(i) for i in frame[n].astype("Int64")] if kind == "bigint" else frame[n].tolist() for n, kind in kinds]
-            for row, text in zip(zip(*columns), frame["text"].tolist()):
-                held.append(row)
+            for i, text in enumerate(frame["text"].tolist()):
+                held.append([c[i] for c in columns])
+                texts.append(text)
                 chars += len(text) if isinstance(text, str) else 0
-                if chars >= batch_chars or len(held) == BATCH_ROWS:
+                if chars >= batch_chars or len(texts) == BATCH_ROWS:
                     yield out()
-                    number, held, chars = number + 1, [], 0
-        if held:
+                    number, held, texts, chars = number + 1, [], [], 0
+        if texts:
             yield out()
 
-    return rows.mapInPandas(run, ", ".join(["batch long", *(f"`{n}` array<{kind}>" for n, kind in kinds)]))
+    return rows.mapInPandas(run, ", ".join(["batch long", "lengths binary", "text binary", "chars long", *(f"`{n}` array<{kind}>" for n, kind in kinds)]))
+
+
+def texts_of(lengths: bytes, text: bytes) -> list[str | None]:
+    """The texts of a batch."""
+    import zstandard
+
+    whole, at, out = zstandard.ZstdDecompressor().decompress(text).decode("utf-8", "surrogatepass"), 0, []
+    for n in np.frombuffer(lengths, dtype="<i4").tolist():
+        out.append(whole[at : at + n] if n >= 0 else None)
+        at += max(n, 0)
+    return out
