@@ -2,12 +2,15 @@
 
 Only the scan of a file's text is Python; every resolution is a join over symbol tables with explicit ambiguity counts. Python
 is read with the standard library's parser, brace languages by declaration heads on text whose comments and strings are blanked,
-formats by line patterns. Relations carry a confidence and a resolution."""
+formats by line patterns. Imports name the files they may mean, calls the type of their receiver where the function says it.
+Files that are too large or minified give a failure row and no symbols. Relations carry a confidence and a resolution."""
 
 from __future__ import annotations
 
 import ast
+import bisect
 import hashlib
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.session import ship_package
+from loomgraph.session import materialize, ship_package
 
 EXTENSIONS = {
     "py": "Python", "go": "Go", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "java": "Java", "cs": "C#", "rs": "Rust", "php": "PHP",
@@ -53,6 +56,22 @@ _IMPORTS = {
     "Rust": re.compile(r"^\s*use\s+([\w:]+)", re.M), "PHP": re.compile(r"^\s*use\s+([\w\\]+)", re.M), "TypeScript": re.compile(r"""(?:import|export)[^'"\n]*from\s+['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]"""),
 }
 _IMPORTS["JavaScript"] = _IMPORTS["TypeScript"]
+_NAMED = re.compile(r"""(?:import|export)\s+(?:type\s+)?([^'"();]*?)\s*from\s+['"]([^'"]+)['"]|(?:const|let|var)\s+(\{[^}]*\}|\w+)\s*=\s*require\(\s*['"]([^'"]+)['"]\s*\)""")
+_SCRIPT_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".d.ts", "/index.ts", "/index.tsx", "/index.js"]
+_PACKAGE = {"Java": re.compile(r"^\s*package\s+([\w.]+)", re.M), "PHP": re.compile(r"^\s*namespace\s+([\w\\]+)", re.M)}
+_LOCAL = {
+    "TypeScript": [("local", r"\b(?:const|let|var)\s+(?P<v>\w+)\s*(?::[^=;]+)?=\s*new\s+(?P<t>[A-Z]\w*)"), ("local", r"\b(?:const|let|var)\s+(?P<v>\w+)\s*:\s*(?P<t>[A-Z]\w*)\b"), ("factory", r"\b(?:const|let|var)\s+(?P<v>\w+)\s*=\s*(?P<t>[a-z]\w*)\s*\(")],
+    "Java": [("local", r"\b(?P<t>[A-Z]\w*)(?:<[^;>]*>)?\s+(?P<v>[a-z]\w*)\s*=")], "PHP": [("local", r"(?P<v>\$\w+)\s*=\s*new\s+(?P<t>[A-Z]\w*)")],
+    "Go": [("local", r"\b(?P<v>\w+)\s*:=\s*&?(?P<t>[A-Z]\w*)\s*\{"), ("local", r"\bvar\s+(?P<v>\w+)\s+\*?(?P<t>[A-Z]\w*)\b"), ("factory", r"\b(?P<v>\w+)\s*:=\s*(?P<t>\w+)\s*\(")],
+    "Rust": [("local", r"\blet\s+(?:mut\s+)?(?P<v>\w+)\s*=\s*(?P<t>[A-Z]\w*)(?:::\w+\(|\s*\{)")],
+}
+_LOCAL["JavaScript"], _LOCAL["C#"] = _LOCAL["TypeScript"], _LOCAL["Java"]
+_LOCAL = {k: [(how, re.compile(p)) for how, p in v] for k, v in _LOCAL.items()}
+_PARAMETER = {"TypeScript": re.compile(r"(?P<v>\w+)\??\s*:\s*(?P<t>[A-Z]\w*)"), "Java": re.compile(r"\b(?P<t>[A-Z]\w*)(?:<[^>]*>)?\s+(?P<v>[a-z]\w*)\s*[,)]"), "Go": re.compile(r"\b(?P<v>\w+)\s+\*?(?P<t>[A-Z]\w*)\s*[,)]"), "PHP": re.compile(r"\b(?P<t>[A-Z]\w*)\s+(?P<v>\$\w+)"), "Rust": re.compile(r"\b(?P<v>\w+)\s*:\s*&?(?:mut\s+)?(?P<t>[A-Z]\w*)")}
+_PARAMETER["JavaScript"], _PARAMETER["C#"] = _PARAMETER["TypeScript"], _PARAMETER["Java"]
+_RETURNS = {"TypeScript": re.compile(r"\)\s*:\s*(?:Promise<)?([A-Z]\w*)"), "Java": re.compile(r"\b([A-Z]\w*)(?:<[^>]*>)?\s+\w+\s*\("), "Go": re.compile(r"\)\s*\(?\*?([A-Z]\w*)[^()]*\)?$"), "PHP": re.compile(r"\)\s*:\s*\??([A-Z]\w*)"), "Rust": re.compile(r"->\s*&?([A-Z]\w*)")}
+_RETURNS["JavaScript"], _RETURNS["C#"] = _RETURNS["TypeScript"], _RETURNS["Java"]
+_CHAIN = re.compile(r"(?:\bnew\s+(?P<ctor>[A-Z]\w*)\s*\([^()]*\)|(?P<recv>[A-Za-z_$][\w$]*)\s*\([^()]*\))\s*(?:\.|->)\s*(?P<name>[A-Za-z_]\w*)\s*\(")
 _HEADER_BASES = re.compile(r"\b(extends|implements)\s+([\w\s,.<>]+?)(?=\bimplements\b|\{|$)")
 
 
@@ -94,20 +113,116 @@ def _row(record, path, language, kind=None, name=None, qualified=None, container
     return (record, path, language, kind, name, qualified, container, start, end, signature, body, receiver, detail)
 
 
-def _references(path, language, body, owner, masked):
-    out = []
+def _types_of(language: str, signature: str, masked: str) -> dict[str, str]:
+    """variable -> "how:type" of a function: its typed parameters, then its locals."""
+    found = {m["v"]: f"param:{m['t']}" for m in _PARAMETER[language].finditer(signature)} if language in _PARAMETER else {}
+    for how, pattern in _LOCAL.get(language, []):
+        for m in pattern.finditer(masked):
+            if m["t"] not in _KEYWORDS:
+                found.setdefault(m["v"], f"{how}:{m['t']}")
+    return found
+
+
+def _references(path, language, body, owner, masked, signature=""):
+    out, types = [], _types_of(language, signature, masked)
     for m in _CALL.finditer(masked):
-        if m["name"] not in _KEYWORDS and not re.search(r"\b(?:func|function|fn|def|class)\s+$", masked[: m.start()][-12:]):
-            out.append(_row("CALL", path, language, "async" if re.search(r"\b(?:await|go)\s+$", masked[: m.start()][-8:]) else None, m["name"], owner, receiver=m["recv"]))
+        before = masked[max(0, m.start() - 12) : m.start()]
+        if m["name"] not in _KEYWORDS and not re.search(r"\b(?:func|function|fn|def|class)\s+$", before) and not re.search(r"[)\]]\s*(?:\.|->)$", before):
+            how = "async" if re.search(r"\b(?:await|go)\s+$", before[-8:]) else None
+            out.append(_row("CALL", path, language, how, m["name"], owner, receiver=m["recv"], detail=types.get(m["recv"])))
+    for m in _CHAIN.finditer(masked):
+        if m["name"] not in _KEYWORDS and (m["ctor"] or m["recv"] not in _KEYWORDS):
+            out.append(_row("CALL", path, language, None, m["name"], owner, receiver="()", detail=f"ctor:{m['ctor']}" if m["ctor"] else f"made:{m['recv']}"))
     for record, pattern in (("HANDLES_ROUTE", _ROUTE), ("HTTP_CALLS", _HTTP), ("EMITS", _EMIT), ("LISTENS_ON", _LISTEN)):
         out += [_row(record, path, language, name=re.sub(r":(\w+)|\[(\w+)\]|<(?:\w+:)?(\w+)>", lambda x: "{" + next(filter(None, x.groups())) + "}", next(filter(None, m.groups()))) if "/" in m[0] else m[1], qualified=owner) for m in pattern.finditer(body)]
     return out
 
 
+def _import(path, language, module, local, original=None, candidates=(), key=None):
+    """An import row: the files it may mean in order (signature), else the module name to look up (container); local and original names."""
+    return _row("IMPORT", path, language, name=module, detail=local, receiver=original, signature="\n".join(candidates) or None, container=key)
+
+
+def _python_files(path: str, module: str) -> list[str]:
+    dots = len(module) - len(module.lstrip("."))
+    tail = module[dots:].replace(".", "/")
+    if dots:
+        base = posixpath.dirname(path)
+        for _ in range(dots - 1):
+            base = posixpath.dirname(base)
+        roots = [base]
+    else:
+        roots = ["", "src", "lib"]
+    whole = [posixpath.normpath(posixpath.join(r, tail)) if r or tail else "" for r in roots]
+    return [f"{w}{end}" for w in whole if w and w != "." for end in (".py", "/__init__.py")]
+
+
+def _imports(path: str, language: str, text: str) -> list[tuple]:
+    """Import rows of a brace language, and the names by which others import the file (MODULE)."""
+    out = []
+    if language in ("TypeScript", "JavaScript"):
+        for m in _NAMED.finditer(text):
+            names, module = (m[1], m[2]) if m[2] else (m[3], m[4])
+            files = [posixpath.normpath(posixpath.join(posixpath.dirname(path), module)) + end for end in _SCRIPT_ENDS] if module.startswith(".") else []
+            inner = re.search(r"\{([^}]*)\}", names)
+            for part in filter(None, (x.strip() for x in (inner[1].split(",") if inner else []))):
+                original, _, local = re.sub(r"^type\s+", "", part.replace(":", " as ")).partition(" as ")
+                out.append(_import(path, language, module, (local or original).strip(), original.strip(), files))
+            rest = re.sub(r"\{[^}]*\}", "", names)
+            for part in filter(None, (x.strip() for x in rest.split(","))):
+                star = re.match(r"\*\s+as\s+(\w+)$", part)
+                out.append(_import(path, language, module, star[1] if star else part, None if star or m[4] else "default", files))
+            if not out or out[-1][4] != module:
+                out.append(_import(path, language, module, "", None, files))
+        for m in re.finditer(r"""^\s*import\s+['"]([^'"]+)['"]""", text, re.M):
+            files = [posixpath.normpath(posixpath.join(posixpath.dirname(path), m[1])) + end for end in _SCRIPT_ENDS] if m[1].startswith(".") else []
+            out.append(_import(path, language, m[1], "", None, files))
+        return out
+    if language == "Go":
+        for block in re.finditer(r"^import\s*(?:\((.*?)\)|([^\n(]+))", text, re.M | re.S):
+            for m in re.finditer(r'(?:(\w+|\.|_)\s+)?"([\w./-]+)"', block[1] or block[2]):
+                out.append(_import(path, language, m[2], m[1] or m[2].rpartition("/")[2], None, (), "go"))
+        return out
+    for m in _IMPORTS.get(language, re.compile("(?!)")).finditer(text):
+        module = next(filter(None, m.groups()))
+        last = re.split(r"[./:\\]+", module)[-1]
+        files = []
+        if language == "Rust" and module.startswith("crate::"):
+            parts = module.split("::")[1:]
+            root = path.partition("src/")[0] + "src/" if "src/" in path else ""
+            files = [root + "/".join(parts[:n]) + end for n in range(len(parts), 0, -1) for end in (".rs", "/mod.rs")]
+        out.append(_import(path, language, module, last, last, files, language if language in _PACKAGE else None))
+    if language in _PACKAGE and (m := _PACKAGE[language].search(text)):
+        sign = "." if language == "Java" else "\\"
+        out.append(_row("MODULE", path, language, name=m[1] + sign + posixpath.splitext(posixpath.basename(path))[0], container=language))
+    return out
+
+
 def _scan_python(path, text):
     out, lines = [], text.split("\n")
 
-    def walk(node, owner, inside_class):
+    def named(node) -> str | None:
+        """The type an annotation names."""
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            return node.value if node.value.isidentifier() else None
+        return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+
+    def typed(function) -> dict[str, str]:
+        found = {}
+        for arg in [*function.args.posonlyargs, *function.args.args, *function.args.kwonlyargs]:
+            if arg.annotation is not None and (t := named(arg.annotation)):
+                found[arg.arg] = f"param:{t}"
+        for node in ast.walk(function):
+            target = node.targets[0] if isinstance(node, ast.Assign) and len(node.targets) == 1 else node.target if isinstance(node, ast.AnnAssign) else None
+            if isinstance(target, ast.Name):
+                if isinstance(node, ast.AnnAssign) and (t := named(node.annotation)):
+                    found.setdefault(target.id, f"local:{t}")
+                elif isinstance(node.value, ast.Call) and isinstance(node.value.func, ast.Name):
+                    made = node.value.func.id
+                    found.setdefault(target.id, f"local:{made}" if made[:1].isupper() else f"factory:{made}")
+        return found
+
+    def walk(node, owner, inside_class, types):
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
                 is_class = isinstance(child, ast.ClassDef)
@@ -117,61 +232,78 @@ def _scan_python(path, text):
                 out.append(_row("SYMBOL", path, "Python", "class" if is_class else "method" if inside_class else "function", child.name, qualified, owner, child.lineno, child.end_lineno, head, _hash(body)))
                 if is_class:
                     out.extend(_row("EXTENDS", path, "Python", name=ast.unparse(b).split(".")[-1], qualified=qualified) for b in child.bases)
+                else:
+                    returned = [s.value.func.id for s in ast.walk(child) if isinstance(s, ast.Return) and isinstance(s.value, ast.Call) and isinstance(s.value.func, ast.Name) and s.value.func.id[:1].isupper()]
+                    if t := (named(child.returns) if child.returns is not None else returned[0] if len(set(returned)) == 1 else None):
+                        out.append(_row("RETURNS", path, "Python", name=t, qualified=qualified))
                 for deco in child.decorator_list:
                     for m in _ROUTE.finditer("@" + ast.unparse(deco)):
                         out.append(_row("HANDLES_ROUTE", path, "Python", name=re.sub(r"<(?:\w+:)?(\w+)>", r"{\1}", next(filter(None, m.groups()))), qualified=qualified))
-                walk(child, qualified, is_class)
+                walk(child, qualified, is_class, types if is_class else typed(child))
             else:
                 if isinstance(child, ast.Call):
                     f = child.func
-                    waited = isinstance(node, ast.Await)
+                    how = "async" if isinstance(node, ast.Await) else None
                     if isinstance(f, ast.Name):
-                        out.append(_row("CALL", path, "Python", "async" if waited else None, f.id, owner))
+                        out.append(_row("CALL", path, "Python", how, f.id, owner))
                     elif isinstance(f, ast.Attribute):
-                        out.append(_row("CALL", path, "Python", "async" if waited else None, f.attr, owner, receiver=ast.unparse(f.value)))
+                        detail = types.get(f.value.id) if isinstance(f.value, ast.Name) else None
+                        if isinstance(f.value, ast.Call) and isinstance(f.value.func, ast.Name):
+                            detail = ("ctor:" if f.value.func.id[:1].isupper() else "made:") + f.value.func.id
+                        out.append(_row("CALL", path, "Python", how, f.attr, owner, receiver=ast.unparse(f.value), detail=detail))
                         for record, pattern in (("HTTP_CALLS", _HTTP), ("EMITS", _EMIT), ("LISTENS_ON", _LISTEN)):
                             out.extend(_row(record, path, "Python", name=m[1], qualified=owner) for m in pattern.finditer(ast.unparse(child)))
                 elif isinstance(child, ast.Import):
-                    out.extend(_row("IMPORT", path, "Python", name=a.name, detail=a.asname or a.name) for a in child.names)
+                    for a in child.names:
+                        out.append(_import(path, "Python", a.name, a.asname or a.name, None, _python_files(path, a.name)))
                 elif isinstance(child, ast.ImportFrom):
                     module = "." * child.level + (child.module or "")
-                    out.extend(_row("IMPORT", path, "Python", name=module, detail=a.asname or a.name) for a in child.names)
-                walk(child, owner, inside_class)
+                    for a in child.names:  # the name may be a module of the package or a symbol of the module
+                        inner = _python_files(path, module + ("" if module.endswith(".") else ".") + a.name)
+                        out.append(_import(path, "Python", module, a.asname or a.name, a.name, [*inner, *_python_files(path, module)]))
+                walk(child, owner, inside_class, types)
 
     try:
-        walk(ast.parse(text), None, False)
+        walk(ast.parse(text), None, False, {})
     except (SyntaxError, ValueError, RecursionError):
         out.append(_row("FAILURE", path, "Python", name="E_PARSE_ERROR"))
     return out
 
 
 def _scan_braces(path, language, text):
+    """One pass over the braces, one over the lines, one stack of open scopes: linear in the text."""
     masked, out = mask(text), []
-    starts = [0]
-    for m in re.finditer("\n", masked):
-        starts.append(m.end())
+    starts = [0, *(m.end() for m in re.finditer("\n", masked))]
+    closing, opens, stack = {}, [], []
+    for m in re.finditer(r"[{}]", masked):
+        if m[0] == "{":
+            stack.append(m.start())
+            opens.append(m.start())
+        elif stack:
+            closing[stack.pop()] = m.end()
+    semicolons = [m.start() for m in re.finditer(";", masked)]
+    next_of = lambda places, at: places[i] if (i := bisect.bisect_left(places, at)) < len(places) else -1
     heads, found = [(k, re.compile(p)) for k, p in _HEADS[language]], []
     for n, at in enumerate(starts):
-        line = masked[at : masked.find("\n", at) if masked.find("\n", at) >= 0 else len(masked)]
+        line = masked[at : starts[n + 1] - 1 if n + 1 < len(starts) else len(masked)]
         for kind, pattern in heads:
             m = pattern.match(line)
             if m and m["name"] not in _KEYWORDS:
-                opening, semicolon = masked.find("{", at), masked.find(";", at)
-                end = at + len(line)
-                if opening >= 0 and not (0 <= semicolon < opening):
-                    depth = 0
-                    for b in re.finditer(r"[{}]", masked[opening:]):
-                        depth += 1 if b[0] == "{" else -1
-                        if not depth:
-                            end = opening + b.end()
-                            break
-                found.append([kind, m["name"], m.groupdict().get("in"), at, end, n + 1, n + 1 + masked.count("\n", at, end), " ".join(text[at : opening if 0 <= opening < end else end].split())])
+                opening, semicolon, end = next_of(opens, at), next_of(semicolons, at), at + len(line)
+                has_body = opening >= 0 and not 0 <= semicolon < opening
+                if has_body:
+                    end = closing.get(opening, end)
+                inside = at <= opening < end
+                found.append((kind, m["name"], m.groupdict().get("in"), at, end, n + 1, bisect.bisect_right(starts, max(at, end - 1)), " ".join(text[at : opening if inside else end].split()), opening if inside and has_body else None))
                 break
-    for kind, name, inside, at, end, first, last, signature in found:
-        owner = inside
-        for k, n, _, a, e, *_ in found:
-            if a < at < e and k in _SCOPES:
-                owner = n
+    scopes: list[tuple[int, str]] = []
+    bodies: list[tuple[int, int]] = []
+    for kind, name, receiver, at, end, first, last, signature, opening in found:
+        while scopes and scopes[-1][0] <= at:
+            scopes.pop()
+        owner = scopes[-1][1] if scopes else receiver
+        if kind in _SCOPES:
+            scopes.append((end, name))
         if kind == "method" and owner is None:
             continue
         if kind == "function" and owner:
@@ -190,13 +322,22 @@ def _scan_braces(path, language, text):
             if language == "C#" and ":" in signature:
                 out += [_row("IMPLEMENTS" if re.match(r"I[A-Z]", b.strip()) else "EXTENDS", path, language, name=b.strip(), qualified=qualified) for b in signature.split(":", 1)[1].split(",") if b.strip()]
         elif kind in ("function", "method"):
-            brace = masked.find("{", at)
-            if 0 <= brace < end:
-                out += _references(path, language, text[brace:end], qualified, masked[brace:end])
-    for m in _IMPORTS.get(language, re.compile("(?!)")).finditer(text):
-        name = next(filter(None, m.groups()))
-        out.append(_row("IMPORT", path, language, name=name, detail=re.split(r"[./:\\]+", name)[-1]))
-    return out
+            if opening is not None:
+                out += _references(path, language, text[opening:end], qualified, masked[opening:end], signature)
+                if not bodies or at >= bodies[-1][1]:
+                    bodies.append((at, end))
+            if language in _RETURNS and (m := _RETURNS[language].search(signature)):
+                out.append(_row("RETURNS", path, language, name=m[1], qualified=qualified))
+    edges = [0, *(x for span in bodies for x in span), len(text)]
+    outside = lambda whole: " ".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    heads_gone = re.compile(r"\b(?:function|func|fn|class|interface|struct)\b[^\n{]*")
+    out += _references(path, language, outside(text), None, heads_gone.sub("", outside(masked)))
+    return out + _imports(path, language, text)
+
+
+def _go_modules(path: str, text: str) -> list[tuple]:
+    m = re.search(r"^module\s+(\S+)", text, re.M)
+    return [_row("MODULE", path, "Go module", name=m[1], container="go", detail=posixpath.dirname(path))] if m else []
 
 
 def scan(path: str, language: str, text: str) -> list[tuple]:
@@ -204,6 +345,8 @@ def scan(path: str, language: str, text: str) -> list[tuple]:
         return _scan_python(path, text)
     if language in _HEADS:
         return _scan_braces(path, language, text)
+    if posixpath.basename(path) == "go.mod":
+        return [*_go_modules(path, text), _row("SYMBOL", path, language, "document", "go.mod", path, None, 1, 1 + text.count("\n"), path, _hash(text))]
     if language in _FORMATS:
         kind, pattern = _FORMATS[language]
         flags = [(n + 1, m) for n, line in enumerate(text.split("\n")) if (m := re.search(pattern, line))]
@@ -215,7 +358,12 @@ def records(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Symbols, references and failures of each file: one pass over text that is neither binary, minified nor too large."""
     ship_package(files.sparkSession)
     known = with_language(files)
-    usable = known.filter((F.col("bytes") <= max_bytes) & ~T.has_nul(F.col("content")) & ~T.minified(F.col("content")))
+    text = known.filter(~T.has_nul(F.col("content")))
+    reason = F.when(F.col("bytes") > max_bytes, "E_FILE_TOO_LARGE").when(T.minified(F.col("content")), "E_MINIFIED")
+    text = text.withColumn("reason", reason)
+    usable = text.filter("reason is null")
+    failed = {"record": F.lit("FAILURE"), "path": F.col("path"), "language": F.col("language"), "name": F.col("reason")}
+    failures = text.filter("reason is not null").select(*[failed.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in (c.split() for c in ROW.split(", "))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,7 +372,7 @@ def records(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
             frame[["start_line", "end_line"]] = frame[["start_line", "end_line"]].astype("Int32")
             yield frame
 
-    return usable.select("path", "language", "content").mapInPandas(run, ROW)
+    return usable.select("path", "language", "content").mapInPandas(run, ROW).unionByName(failures)
 
 
 def _symbol_table(rows: DataFrame, repo: str) -> DataFrame:
@@ -243,8 +391,8 @@ def symbols(files: DataFrame, repo: str = "repo") -> DataFrame:
 
 def relations(files: DataFrame, repo: str = "repo") -> DataFrame:
     """(from_id, to_id, type, confidence, resolution, target_kind) of the tree; a call that matches several symbols in its tier gives none."""
-    rows = records(files).persist()
-    table = _symbol_table(rows, repo).persist()
+    rows = materialize(records(files), "records")
+    table = materialize(_symbol_table(rows, repo), "symbols")
     file_id = lambda c: F.concat(F.lit(f"{repo}:file:"), c)
     edge = lambda df, a, b, t, conf, res, kind: df.select(a.alias("from_id"), b.alias("to_id"), (t if isinstance(t, Column) else F.lit(t)).alias("type"), (conf if isinstance(conf, Column) else F.lit(conf)).cast("double").alias("confidence"), (res if isinstance(res, Column) else F.lit(res)).alias("resolution"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("target_kind"))
     out = [edge(table, file_id(F.col("file_path")), F.col("id"), "DEFINES", 1.0, "exact", "symbol")]
@@ -253,7 +401,7 @@ def relations(files: DataFrame, repo: str = "repo") -> DataFrame:
     out.append(edge(inner, F.col("p_id"), F.col("id"), "CONTAINS", 1.0, "exact", "symbol"))
     # who holds a reference: the symbol of that qualified name in the file, else the file
     owner = table.groupBy(F.col("file_path").alias("o_path"), F.col("qualified_name").alias("o_name")).agg(F.min("id").alias("o_id"), F.min("container").alias("o_in"))
-    held = rows.filter("record <> 'SYMBOL' and record <> 'FAILURE'").join(owner, (F.col("path") == F.col("o_path")) & (F.col("qualified") == F.col("o_name")), "left").withColumn("src", F.coalesce("o_id", file_id(F.col("path"))))
+    held = rows.filter("record not in ('SYMBOL', 'FAILURE', 'IMPORT', 'MODULE')").join(owner, (F.col("path") == F.col("o_path")) & (F.col("qualified") == F.col("o_name")), "left").withColumn("src", F.coalesce("o_id", file_id(F.col("path"))))
     # supertypes: a unique local type, else external
     types = table.filter(F.col("kind").isin("class", "interface", "struct", "trait", "type", "enum")).groupBy(F.col("name").alias("t_name")).agg(F.count(F.lit(1)).alias("t_n"), F.min("id").alias("t_id"), F.min("kind").alias("t_kind"), F.min("qualified_name").alias("t_qualified"), F.min("file_path").alias("t_path"))
     supers = held.filter(F.col("record").isin("EXTENDS", "IMPLEMENTS")).join(types, (F.col("name") == F.col("t_name")) & (F.col("t_n") == 1), "left")
@@ -267,33 +415,68 @@ def relations(files: DataFrame, repo: str = "repo") -> DataFrame:
     known = supers.filter("t_id is not null").select("path", F.col("qualified").alias("sub"), "t_qualified", "t_path").distinct()
     overrides = known.join(own, (F.col("path") == F.col("own.m_path")) & (F.col("sub") == F.col("own.m_in"))).join(base, (F.col("t_path") == F.col("base.m_path")) & (F.col("t_qualified") == F.col("base.m_in")) & (F.col("own.m_name") == F.col("base.m_name")))
     out.append(edge(overrides, F.col("own.m_id"), F.col("base.m_id"), "OVERRIDES", 0.85, "exact", "symbol"))
-    # calls: own type .90, same file .92, imported .86, package .80, unique name .68, imported external .78
-    calls = held.filter("record = 'CALL'").withColumn("call", F.monotonically_increasing_id()).withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).persist()
-    callable_ = table.filter(F.col("kind").isin("function", "method", "class", "struct", "type")).withColumn("dir", F.regexp_extract("file_path", "^(.*)/[^/]*$", 1))
-    imports = rows.filter("record = 'IMPORT'").select(F.col("path").alias("i_path"), F.col("name").alias("module"), F.col("detail").alias("local_name")).distinct()
+    # imports: the first file that is there of those an import may mean, else the one file known by the module's name
+    imports = rows.filter("record = 'IMPORT'").select(F.col("path").alias("i_path"), F.col("name").alias("module"), F.col("detail").alias("local_name"), F.col("receiver").alias("original"), F.col("signature").alias("files"), F.col("container").alias("key")).distinct()
+    imports = materialize(imports.withColumn("i_no", F.monotonically_increasing_id()), "imports")
+    paths = with_language(files).select(F.col("path").alias("to_path"), "language").distinct()
+    by_path = imports.select("i_no", "i_path", F.posexplode(F.split("files", "\n")).alias("nth", "to_path")).join(paths, "to_path").groupBy("i_no").agg(F.min_by("to_path", "nth").alias("to_path")).withColumn("sure", F.lit(0.95))
+    modules = rows.filter("record = 'MODULE'").select(F.col("container").alias("key"), F.col("name").alias("known_as"), F.col("path").alias("m_path"), F.col("detail").alias("m_dir"))
+    named = modules.filter("key <> 'go'").groupBy("key", "known_as").agg(F.count_distinct("m_path").alias("n"), F.min("m_path").alias("to_path")).filter("n = 1")
+    by_name = imports.join(named.withColumnRenamed("known_as", "module"), ["key", "module"]).select("i_no", "to_path", F.when(F.col("key") == "PHP", 0.88).otherwise(0.90).alias("sure"))
+    steps = F.split("module", "/")
+    prefixes = imports.filter("key = 'go'").select("i_no", "module", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("k")).withColumn("known_as", F.array_join(F.slice(steps, F.lit(1), F.col("k")), "/"))
+    here = prefixes.join(F.broadcast(modules.filter("key = 'go'").select("known_as", "m_dir")), "known_as")  # one row a go.mod
+    here = here.withColumn("dir", F.array_join(F.filter(F.array("m_dir", F.array_join(F.slice(steps, F.col("k") + 1, F.size(steps)), "/")), lambda x: x != ""), "/"))
+    dir_of = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)
+    packages = paths.filter((F.col("language") == "Go") & ~F.col("to_path").endswith("_test.go")).groupBy(dir_of(F.col("to_path")).alias("dir")).agg(F.min("to_path").alias("to_path"))
+    by_package = here.join(packages, "dir").groupBy("i_no").agg(F.max_by("to_path", "k").alias("to_path")).withColumn("sure", F.lit(0.93))
+    landed = by_path.unionByName(by_name).unionByName(by_package).groupBy("i_no").agg(F.max_by("to_path", F.struct("sure", "to_path")).alias("to_path"), F.max("sure").alias("sure"))
+    imports = materialize(imports.join(landed, "i_no", "left").filter("to_path is null or to_path <> i_path"), "imports-resolved")
+    # calls: own type .90, same file .92, imported .86, typed receiver .85 to .77, package .80, imported external .78, unique name .68
+    calls = materialize(held.filter("record = 'CALL'").withColumn("call", F.monotonically_increasing_id()).withColumn("dir", dir_of(F.col("path"))), "calls")
+    callable_ = table.filter(F.col("kind").isin("function", "method", "class", "struct", "type")).withColumn("dir", dir_of(F.col("file_path")))
     count = lambda keys, where=None: (callable_.filter(where) if where else callable_).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("to"), F.min("kind").alias("to_kind"))
     bare = F.col("receiver").isNull()
     mine = F.col("receiver").isin("self", "this", "cls", "$this")
-    base_name = lambda c: F.regexp_extract(c, r"([^/]+?)(?:\.\w+)?$", 1)
     c = lambda df: df.select("call", "tier", "n", "to", "to_kind", "conf", "res")
-    tier = lambda df, n, conf, res: c(df.withColumns({"tier": F.lit(n), "conf": F.lit(conf), "res": F.lit(res)}))
+    tier = lambda df, n, conf, res: c(df.withColumns({"tier": F.lit(n), "conf": conf if isinstance(conf, Column) else F.lit(conf), "res": F.lit(res)}))
+    methods_of = count(["file_path", "container", "name"], "kind = 'method'").toDF("f", "k", "m", "n", "to", "to_kind")
     found = [
-        tier(calls.filter(mine).join(count(["file_path", "container", "name"], "kind = 'method'").toDF("f", "k", "m", "n", "to", "to_kind"), (F.col("path") == F.col("f")) & (F.col("o_in") == F.col("k")) & (F.col("name") == F.col("m"))), 1, 0.90, "exact"),
+        tier(calls.filter(mine).join(methods_of, (F.col("path") == F.col("f")) & (F.col("o_in") == F.col("k")) & (F.col("name") == F.col("m"))), 1, 0.90, "exact"),
         tier(calls.filter(bare).join(count(["file_path", "name"], "kind <> 'method'").toDF("f", "m", "n", "to", "to_kind"), (F.col("path") == F.col("f")) & (F.col("name") == F.col("m"))), 2, 0.92, "exact"),
     ]
-    via = calls.join(imports, (F.col("path") == F.col("i_path")) & (F.col("local_name") == F.coalesce(F.element_at(F.split("receiver", r"\."), 1), "name")))
-    module = base_name(F.regexp_replace("module", r"[.:\\]+", "/"))
-    targets = callable_.withColumn("stem", base_name(F.col("file_path"))).filter("kind <> 'method'").groupBy("stem", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("to"), F.min("kind").alias("to_kind")).toDF("stem", "m", "n", "to", "to_kind")
-    found.append(tier(via.withColumn("stem_", module).join(targets, (F.col("stem_") == F.col("stem")) & (F.col("name") == F.col("m"))).dropDuplicates(["call"]), 3, 0.86, "import_resolved"))
+    head = F.element_at(F.split("receiver", r"\."), 1)
+    via = calls.join(imports, (F.col("path") == F.col("i_path")) & (F.col("local_name") == F.coalesce(head, "name"))).filter(F.col("local_name") != "")
+    wanted = F.when(bare & F.col("original").isNotNull(), F.col("original")).otherwise(F.col("name"))
+    exported = count(["file_path", "name"], "kind <> 'method'").toDF("f", "m", "n", "to", "to_kind")
+    in_file = via.withColumn("wanted", wanted).join(exported, (F.col("to_path") == F.col("f")) & (F.col("wanted") == F.col("m")))
+    in_package = via.filter("language = 'Go' and to_path is not null").join(count(["dir", "name"], "language = 'Go' and kind <> 'method'").toDF("d", "m", "n", "to", "to_kind"), (dir_of(F.col("to_path")) == F.col("d")) & (F.col("name") == F.col("m")))
+    reached = in_file.select("call", "n", "to", "to_kind").unionByName(in_package.select("call", "n", "to", "to_kind")).distinct().groupBy("call").agg(F.sum("n").alias("n"), F.min("to").alias("to"), F.min("to_kind").alias("to_kind"))
+    found.append(tier(reached, 3, 0.86, "import_resolved"))
+    # the receiver's type: of a local, a parameter, a constructor or what a factory returns; inherited methods by walking up supertypes
+    kind_of = table.filter(F.col("kind").isin("class", "struct", "type", "interface", "trait")).groupBy("name").agg(F.count(F.lit(1)).alias("t_n"), F.min("file_path").alias("t_path"), F.min("qualified_name").alias("t_in")).filter("t_n = 1").drop("t_n")
+    returns = rows.filter("record = 'RETURNS'").select(F.regexp_extract("qualified", r"([^.]+)$", 1).alias("factory"), F.col("name").alias("returned")).distinct().groupBy("factory").agg(F.count(F.lit(1)).alias("k"), F.min("returned").alias("returned")).filter("k = 1").drop("k")
+    said = calls.filter("detail is not null").withColumns({"how": F.substring_index("detail", ":", 1), "said": F.substring_index("detail", ":", -1)}).join(returns, F.col("how").isin("factory", "made") & (F.col("said") == F.col("factory")), "left")
+    said = said.withColumn("type", F.when(F.col("how").isin("factory", "made"), F.col("returned")).otherwise(F.col("said"))).filter("type is not null")
+    sure_of = F.when(F.col("how") == "local", 0.85).when(F.col("how") == "param", 0.83).when(F.col("how") == "ctor", 0.80).when(F.col("how") == "made", 0.78).otherwise(0.77)
+    typed = said.select("call", "name", "type", sure_of.alias("typed_conf")).join(kind_of.withColumnRenamed("name", "type"), "type")
+    found.append(tier(typed.join(methods_of, (F.col("t_path") == F.col("f")) & (F.col("t_in") == F.col("k")) & (F.col("name") == F.col("m"))), 4, F.col("typed_conf"), "type_inferred"))
+    up = known.select(F.col("path").alias("s_path"), F.col("sub"), F.col("t_path").alias("u_path"), F.col("t_qualified").alias("u_in")).distinct()
+    at = typed.select("call", "name", F.col("t_path").alias("at_path"), F.col("t_in").alias("at_in")).unionByName(calls.filter(mine & F.col("o_in").isNotNull()).select("call", "name", F.col("path").alias("at_path"), F.col("o_in").alias("at_in")))
+    for step in range(3):  # supertypes of supertypes
+        at = at.join(up, (F.col("at_path") == F.col("s_path")) & (F.col("at_in") == F.col("sub"))).select("call", "name", F.col("u_path").alias("at_path"), F.col("u_in").alias("at_in")).distinct()
+        found.append(tier(at.join(methods_of, (F.col("at_path") == F.col("f")) & (F.col("at_in") == F.col("k")) & (F.col("name") == F.col("m"))), 5 + step, 0.82, "type_inferred"))
     go = calls.filter(bare & (F.col("language") == "Go"))
-    found.append(tier(go.join(count(["dir", "name"], "language = 'Go' and kind <> 'method'").toDF("d", "m", "n", "to", "to_kind"), (F.col("dir") == F.col("d")) & (F.col("name") == F.col("m"))), 4, 0.80, "package"))
-    outside = via.withColumns({"n": F.lit(1).cast("long"), "to": F.concat_ws("", F.lit("external:symbol:"), "module", F.lit("."), "name"), "to_kind": F.lit("external")})
-    found.append(tier(outside.dropDuplicates(["call"]), 5, 0.78, "import_external"))
-    found.append(tier(calls.filter(bare).join(count(["name"], "kind <> 'method'").toDF("m", "n", "to", "to_kind"), F.col("name") == F.col("m")), 6, 0.68, "name_only"))
+    found.append(tier(go.join(count(["dir", "name"], "language = 'Go' and kind <> 'method'").toDF("d", "m", "n", "to", "to_kind"), (F.col("dir") == F.col("d")) & (F.col("name") == F.col("m"))), 8, 0.80, "package"))
+    outside = via.filter("to_path is null").withColumn("what", F.when(bare & F.col("original").isNotNull(), F.col("original")).otherwise(F.col("name")))
+    outside = outside.groupBy("call").agg(F.min(F.concat_ws("", F.lit("external:symbol:"), "module", F.lit("."), "what")).alias("to")).withColumns({"n": F.lit(1).cast("long"), "to_kind": F.lit("external")})
+    found.append(tier(outside, 9, 0.78, "import_external"))
+    found.append(tier(calls.filter(bare).join(count(["name"], "kind <> 'method'").toDF("m", "n", "to", "to_kind"), F.col("name") == F.col("m")), 10, 0.68, "name_only"))
     ladder = found[0]
     for f in found[1:]:
         ladder = ladder.unionByName(f)
-    first = ladder.groupBy("call").agg(F.min_by(F.struct("n", "to", "to_kind", "conf", "res"), "tier").alias("b")).select("call", "b.*").filter("n = 1")
+    # the first tier that has any candidate decides; where it has several, there is no edge
+    first = ladder.groupBy("call", "tier").agg(F.sum("n").alias("n"), F.min(F.struct("to", "to_kind", "conf", "res")).alias("b")).groupBy("call").agg(F.min_by(F.struct("n", "b"), "tier").alias("t")).select("call", "t.n", "t.b.*").filter("n = 1")
     resolved = calls.join(first, "call").filter("src <> to")
     call_type = F.when(F.col("to_kind").isin("class", "struct", "type"), "CONSTRUCTS").otherwise("CALLS")
     target_kind = F.when(F.col("to_kind") == "external", "external").otherwise("symbol")
@@ -303,10 +486,8 @@ def relations(files: DataFrame, repo: str = "repo") -> DataFrame:
     subject = table.filter(F.col("kind").isin("function", "method")).withColumn("subject", F.coalesce(*[F.when(F.regexp_extract("name", p, 1) != "", F.regexp_extract("name", p, 1)) for p in ("^(?:Test|test_?)(\\w+)$", "^(\\w+?)_?[Tt]est$")]))
     units = callable_.filter(~F.col("name").rlike("^(Test|test)|[Tt]est$")).groupBy(F.lower("name").alias("u")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u_id")).filter("n = 1")
     out.append(edge(subject.filter("subject is not null").join(units, F.lower("subject") == F.col("u")), F.col("id"), F.col("u_id"), "TESTS", 0.8, "name_only", "symbol"))
-    local = with_language(files).select("path").withColumn("stem", base_name(F.col("path"))).groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("to_path")).filter("n = 1")
-    relative = imports.withColumn("s", base_name(F.regexp_replace("module", r"[.:\\]+", "/"))).join(local, (F.col("s") == F.col("stem")) & (F.col("i_path") != F.col("to_path")), "left")
     inside = F.col("to_path").isNotNull()
-    out.append(edge(relative.select("i_path", "module", "to_path").distinct(), file_id(F.col("i_path")), F.when(inside, file_id(F.col("to_path"))).otherwise(F.concat(F.lit("external:import:"), "module")), "IMPORTS", F.when(inside, 0.95).otherwise(0.8), F.when(inside, "import_resolved").otherwise("name_only"), F.when(inside, "file").otherwise("external")))
+    out.append(edge(imports, file_id(F.col("i_path")), F.when(inside, file_id(F.col("to_path"))).otherwise(F.concat(F.lit("external:import:"), "module")), "IMPORTS", F.when(inside, F.col("sure")).otherwise(0.8), F.when(inside, "import_resolved").otherwise("name_only"), F.when(inside, "file").otherwise("external")))
     ways = {"HANDLES_ROUTE": ("route", 0.86), "HTTP_CALLS": ("route", 0.7), "EMITS": ("channel", 0.6), "LISTENS_ON": ("channel", 0.6)}
     for record, (node, conf) in ways.items():
         out.append(edge(held.filter(F.col("record") == record), F.col("src"), F.concat(F.lit(f"external:{node}:"), "name"), record, conf, "pattern", node))
@@ -346,7 +527,7 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """A, M, D and R rows of two trees(path, content): a full outer join on the path; a rename is one deletion and one addition of equal content."""
     blob = lambda df: df.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("blob"))
     b, a = blob(before).toDF("old", "old_blob"), blob(after).toDF("new", "new_blob")
-    both = b.join(a, F.col("old") == F.col("new"), "full_outer").persist()
+    both = materialize(b.join(a, F.col("old") == F.col("new"), "full_outer"), "changed")
     gone = both.filter("new is null").groupBy(F.col("old_blob").alias("k")).agg(F.count(F.lit(1)).alias("n_old"), F.min("old").alias("was"))
     came = both.filter("old is null").groupBy(F.col("new_blob").alias("k")).agg(F.count(F.lit(1)).alias("n_new"), F.min("new").alias("now"))
     moved = gone.join(came, "k").filter("n_old = 1 and n_new = 1").select("was", "now")

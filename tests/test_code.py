@@ -32,6 +32,62 @@ def test_relations(edges, source, target, kind, expected):
     assert edges.get((source, target, kind)) == expected
 
 
+MIXED = {
+    "tools/json.go": "package tools\n\nfunc Encode() {}\n", "tools/other/utils.py": "def go():\n    pass\n",
+    "app/main.py": "import json\nfrom pkg.utils import go\nfrom . import helper\nfrom app.shapes import Square as Sq, build\n\n\ndef run(s: Base):\n    json.dumps(1)\n    go()\n    helper.help_me()\n    q = Shape2()\n    q.area()\n    s.name()\n    build().area()\n    Sub().name()\n    made = build()\n    made.area()\n    unknown.area()\n",
+    "app/helper.py": "def help_me():\n    pass\n",
+    "app/shapes.py": "class Base:\n    def name(self):\n        return 1\n\n\nclass Sub(Base):\n    def go_up(self):\n        return self.name()\n\n\nclass Shape2:\n    def area(self):\n        return 2\n\n\nclass Square:\n    def area(self):\n        return 3\n\n\ndef build() -> Square:\n    return Square()\n",
+    "go.mod": "module example.com/m\n", "cmd/main.go": "package main\n\nimport (\n\t\"fmt\"\n\t\"example.com/m/store\"\n)\n\nfunc main() {\n\tstore.Open()\n\tfmt.Println()\n}\n",
+    "store/db.go": "package store\n\ntype DB struct {\n}\n\nfunc (d *DB) Close() {}\n\nfunc Open() *DB {\n\td := DB{}\n\td.Close()\n\treturn nil\n}\n",
+    "j/src/com/x/A.java": "package com.x;\n\nimport com.x.B;\n\nclass A {\n  void run(B b) {\n    b.work();\n    new B().work();\n  }\n}\n", "j/src/com/x/B.java": "package com.x;\n\nclass B {\n  void work() {\n  }\n}\n",
+    "w/a.ts": "import { load as pull } from './lib/b';\nimport * as c from './c';\nimport React from 'react';\n\nexport function go2() {\n  pull();\n  c.other();\n}\nboot();\nfunction boot() {\n}\n", "w/lib/b/index.ts": "export function load() {\n}\n", "w/c.ts": "export function other() {\n}\n",
+    "r/src/lib.rs": "use crate::util::io;\n", "r/src/util.rs": "pub fn io() {}\n", "big.js": "x" * 2_000_000, "min.js": "y();" * 5000,
+}
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    found = code.relations(spark.createDataFrame(list(MIXED.items()), "path string, content string")).collect()
+    short = lambda i: i.split(":", 1)[1] if i.startswith("repo:") else i
+    return {(short(r.from_id), short(r.to_id), r.type): (r.confidence, r.resolution) for r in found}
+
+
+@pytest.mark.parametrize(("source", "target", "kind", "expected"), [
+    ("file:app/main.py", "external:import:json", "IMPORTS", (0.8, "name_only")), ("file:app/main.py", "external:import:pkg.utils", "IMPORTS", (0.8, "name_only")),
+    ("file:app/main.py", "file:app/helper.py", "IMPORTS", (0.95, "import_resolved")), ("file:app/main.py", "file:app/shapes.py", "IMPORTS", (0.95, "import_resolved")),
+    ("file:cmd/main.go", "file:store/db.go", "IMPORTS", (0.93, "import_resolved")), ("file:cmd/main.go", "external:import:fmt", "IMPORTS", (0.8, "name_only")),
+    ("file:j/src/com/x/A.java", "file:j/src/com/x/B.java", "IMPORTS", (0.9, "import_resolved")), ("file:w/a.ts", "file:w/lib/b/index.ts", "IMPORTS", (0.95, "import_resolved")),
+    ("file:w/a.ts", "external:import:react", "IMPORTS", (0.8, "name_only")), ("file:r/src/lib.rs", "file:r/src/util.rs", "IMPORTS", (0.95, "import_resolved")),
+    ("Python:app/main.py:function:run", "external:symbol:json.dumps", "CALLS", (0.78, "import_external")), ("Python:app/main.py:function:run", "external:symbol:pkg.utils.go", "CALLS", (0.78, "import_external")),
+    ("Python:app/main.py:function:run", "Python:app/helper.py:function:help_me", "CALLS", (0.86, "import_resolved")), ("Python:app/main.py:function:run", "Python:app/shapes.py:method:Shape2.area", "CALLS", (0.85, "type_inferred")),
+    ("Python:app/main.py:function:run", "Python:app/shapes.py:method:Base.name", "CALLS", (0.83, "type_inferred")), ("Python:app/main.py:function:run", "Python:app/shapes.py:method:Square.area", "CALLS", (0.78, "type_inferred")),
+    ("Python:app/shapes.py:method:Sub.go_up", "Python:app/shapes.py:method:Base.name", "CALLS", (0.82, "type_inferred")), ("Go:cmd/main.go:function:main", "Go:store/db.go:function:Open", "CALLS", (0.86, "import_resolved")),
+    ("Go:store/db.go:function:Open", "Go:store/db.go:method:DB.Close", "CALLS", (0.85, "type_inferred")), ("Java:j/src/com/x/A.java:method:A.run", "Java:j/src/com/x/B.java:method:B.work", "CALLS", (0.83, "type_inferred")),
+    ("TypeScript:w/a.ts:function:go2", "TypeScript:w/lib/b/index.ts:function:load", "CALLS", (0.86, "import_resolved")), ("TypeScript:w/a.ts:function:go2", "TypeScript:w/c.ts:function:other", "CALLS", (0.86, "import_resolved")),
+    ("file:w/a.ts", "TypeScript:w/a.ts:function:boot", "CALLS", (0.92, "exact")),
+])
+def test_imports_and_receivers(mixed, source, target, kind, expected):
+    assert mixed.get((source, target, kind)) == expected
+
+
+def test_nothing_is_resolved_by_a_file_stem(mixed):
+    assert not [e for e in mixed if "tools/" in e[1] and e[2] != "DEFINES"]
+
+
+def test_files_that_are_too_large_or_minified_fail(spark):
+    rows = code.records(spark.createDataFrame(list(MIXED.items()), "path string, content string")).filter("record = 'FAILURE'").collect()
+    assert {(r.path, r.name) for r in rows} == {("big.js", "E_FILE_TOO_LARGE"), ("min.js", "E_MINIFIED")}
+
+
+def test_the_brace_scanner_is_linear():
+    import time
+
+    one = "function f%d(a) {\n  if (a) { g(a); }\n  return a.b.c(1);\n}\n"
+    began = time.time()
+    assert len(code.scan("x.js", "JavaScript", "".join(one % i for i in range(15000)))) == 45000
+    assert time.time() - began < 30
+
+
 def test_symbols_of_formats(spark):
     found = {(r.file_path, r.kind, r.name) for r in code.symbols(code.example_files(spark)).collect()}
     assert {("Dockerfile", "stage", "build"), ("README.md", "section", "Shop"), ("api/main.go", "type", "Store")} <= found
@@ -50,7 +106,7 @@ def test_snapshot_key_ignores_order(spark):
 
 def test_diverse_covers_files_first():
     rows = [{"path": p, "start": s, "end": s + 1, "score": v} for p, s, v in (("a", 1, 9.0), ("a", 5, 8.9), ("a", 9, 8.8), ("b", 1, 6.5))]
-    assert [r["path"] for r in search.diverse(rows, 3)] == ["a", "b", "a"] or [r["path"] for r in search.diverse(rows, 3)] == ["a", "a", "b"]
+    assert [(r["path"], r["start"]) for r in search.diverse(rows, 3)] == [("a", 1), ("b", 1), ("a", 5)]
     assert sum(r["path"] == "a" for r in search.diverse(rows, 4)) == 2
 
 
