@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import materialize
+
 RESOLUTION_TIERS = ["exact", "import_resolved", "type_inferred", "package", "import_external", "name_only", "pattern"]
 DEGREE_TYPES = ("CALLS", "ASYNC_CALLS", "IMPLEMENTS", "OVERRIDES")
 
@@ -46,17 +48,18 @@ def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = edges.select(F.col("from_id").alias("focus"), F.lit("outgoing").alias("direction"), F.col("to_id").alias("id"), "type", "confidence", "resolution").unionByName(
         edges.select(F.col("to_id").alias("focus"), F.lit("incoming").alias("direction"), F.col("from_id").alias("id"), "type", "confidence", "resolution")
     )
-    return both.join(nodes.select("id", "kind", "name"), "id")
+    return both.join(nodes.select("id", "kind", "name", "path", "line"), "id")
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, foci: DataFrame, limit: int) -> DataFrame:
     """The `limit` best edges per focus and direction, with totals and a truncation flag.
 
-    The order is endpoint tier, resolution tier, confidence (falling), name, id, type. The window keeps only the best rows of each
-    task before the shuffle; totals come from a partial aggregation, so a hub never gathers in one place."""
-    near = incident(edges.join(foci.select(F.col("id").alias("from_id")), "from_id", "left_semi").unionByName(edges.join(foci.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(edges.columns)).distinct(), nodes)
-    near = near.join(foci.select(F.col("id").alias("focus")), "focus", "left_semi")
-    order = [endpoint_tier(F.col("kind")), resolution_tier(F.col("resolution")), F.col("confidence").desc(), "name", "id", "type"]
+    The order is endpoint tier, resolution tier, confidence (falling), path, line, name, id, type, resolution. Edges are derived once and
+    written, as are those of the foci with their other ends. The window keeps only the best rows of each task before the
+    shuffle; totals come from a partial aggregation, so a hub never gathers in one place."""
+    near = incident(materialize(edges, "edges"), nodes).join(foci.select(F.col("id").alias("focus")).distinct(), "focus", "left_semi")
+    near = materialize(near, "near")
+    order = [endpoint_tier(F.col("kind")), resolution_tier(F.col("resolution")), F.col("confidence").desc(), "path", "line", "name", "id", "type", "resolution"]
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("focus", "direction").orderBy(*order))).filter(F.col("rank") <= limit)
     totals = near.groupBy("focus", "direction").agg(F.count(F.lit(1)).alias("total"))
     return ranked.join(totals, ["focus", "direction"]).withColumn("truncated", F.col("total") > limit)
@@ -65,6 +68,7 @@ def neighbors(edges: DataFrame, nodes: DataFrame, foci: DataFrame, limit: int) -
 def paths_through(edges: DataFrame, foci: DataFrame, limit: int) -> DataFrame:
     """Caller, focus, callee triples, at most `limit` per focus by (caller, callee); either side is cut to `limit` first, so a hub
     yields at most limit x limit intermediate rows."""
+    edges = materialize(edges.select("from_id", "to_id"), "edges")
     order_in = Window.partitionBy("to_id").orderBy("from_id")
     order_out = Window.partitionBy("from_id").orderBy("to_id")
     callers = edges.join(foci.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id").distinct()

@@ -39,8 +39,8 @@ TERMS = f"regexp_extract_all({LOW}, '[a-z0-9]+')"
 NEAR = f"""{NODES}, {EDGES}, inc AS (
   SELECT from_id AS focus, 'outgoing' AS direction, to_id AS id, type, confidence, resolution FROM edges
   UNION ALL SELECT to_id, 'incoming', from_id, type, confidence, resolution FROM edges),
-near AS (SELECT focus, direction, i.id, kind, name, type, confidence, resolution FROM inc i JOIN nodes n ON i.id = n.id WHERE focus LIKE 'supplier:%' OR focus LIKE 'customer:%'),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY focus, direction ORDER BY {TIER}, confidence DESC, name, id, type) AS INTEGER) AS rank,
+near AS (SELECT focus, direction, i.id, kind, name, path, line, type, confidence, resolution FROM inc i JOIN nodes n ON i.id = n.id WHERE focus LIKE 'supplier:%' OR focus LIKE 'customer:%'),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY focus, direction ORDER BY {TIER}, confidence DESC, path, line, name, id, type, resolution) AS INTEGER) AS rank,
   count(*) OVER (PARTITION BY focus, direction) AS total FROM near)"""
 
 
