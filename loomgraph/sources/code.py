@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.session import materialize, ship_package
+from loomgraph.sources.flows import brace_flows, python_flows
 
 EXTENSIONS = {
     "py": "Python", "go": "Go", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "java": "Java", "cs": "C#", "rs": "Rust", "php": "PHP",
@@ -138,6 +139,34 @@ def _references(path, language, body, owner, masked, signature=""):
     return out
 
 
+def _flow(path, language, owner, flow):
+    callee, kind, forward = flow
+    return _row("FLOW", path, language, kind, callee, owner, detail="forward" if forward else "return")
+
+
+_FIELD = {
+    "Go": re.compile(r"\s+(?P<n>[A-Za-z_]\w*(?:\s*,\s*\w+)*)\s+[\w*\[\].]+"), "TypeScript": re.compile(r"\s+(?:(?:public|private|protected|readonly|static|declare)\s+)*(?P<n>[A-Za-z_#]\w*)[?!]?\s*(?::[^=(]+)?(?:=[^>].*)?;?\s*$"),
+    "Java": re.compile(r"\s+(?:(?:public|private|protected|static|final|readonly|internal|volatile|transient)\s+)*[\w<>\[\],.?]+\s+(?P<n>[A-Za-z_]\w*)\s*(?:=.*)?(?:;|\{\s*get\b.*)"), "Rust": re.compile(r"\s+(?:pub(?:\([^)]*\))?\s+)?(?P<n>[a-z_]\w*)\s*:\s*[^:]"),
+    "PHP": re.compile(r"\s+(?:(?:public|private|protected|static|readonly)\s+)+(?:\??[\w\\\\]+\s+)?\$(?P<n>\w+)\s*[;=]"),
+}
+_FIELD["JavaScript"], _FIELD["C#"] = _FIELD["TypeScript"], _FIELD["Java"]
+_ACCESS = re.compile(r"(?P<ref>&\s*(?:mut\s+)?)?(?P<recv>\$?[A-Za-z_]\w*)(?:\.|->)(?P<name>[A-Za-z_]\w*)\b(?!\s*\()(?P<write>\s*(?:[-+*/%|&^]|<<|>>|\?\?)?=(?![=>])|\s*(?:\+\+|--))?")
+
+
+def _accesses(path, language, owner, container, signature, masked, types):
+    """Field accesses whose receiver's type is known: own fields .9, locals .85, parameters .83."""
+    out, own = set(), {"this", "self", "$this"}
+    receiver = re.match(r"func\s*\(\s*(\w+)\s", signature) if language == "Go" else None
+    if receiver:
+        own.add(receiver[1])
+    for m in _ACCESS.finditer(masked):
+        how, _, of = types.get(m["recv"], "").partition(":")
+        sure, of = (0.9, container) if m["recv"] in own else (0.85, of) if how == "local" else (0.83, of) if how == "param" else (0, None)
+        if of:
+            out.add(("ACCESSES" if m["ref"] else "WRITES_FIELD" if m["write"] else "READS_FIELD", m["name"], of, sure))
+    return [_row(record, path, language, name=name, qualified=owner, container=of, detail=str(sure)) for record, name, of, sure in sorted(out)]
+
+
 def _import(path, language, module, local, original=None, candidates=(), key=None):
     """An import row: the files it may mean in order (signature), else the module name to look up (container); local and original names."""
     return _row("IMPORT", path, language, name=module, detail=local, receiver=original, signature="\n".join(candidates) or None, container=key)
@@ -236,6 +265,7 @@ def _scan_python(path, text):
                     returned = [s.value.func.id for s in ast.walk(child) if isinstance(s, ast.Return) and isinstance(s.value, ast.Call) and isinstance(s.value.func, ast.Name) and s.value.func.id[:1].isupper()]
                     if t := (named(child.returns) if child.returns is not None else returned[0] if len(set(returned)) == 1 else None):
                         out.append(_row("RETURNS", path, "Python", name=t, qualified=qualified))
+                    out.extend(_flow(path, "Python", qualified, f) for f in python_flows(child))
                 for deco in child.decorator_list:
                     for m in _ROUTE.finditer("@" + ast.unparse(deco)):
                         out.append(_row("HANDLES_ROUTE", path, "Python", name=re.sub(r"<(?:\w+:)?(\w+)>", r"{\1}", next(filter(None, m.groups()))), qualified=qualified))
@@ -323,11 +353,17 @@ def _scan_braces(path, language, text):
                 out += [_row("IMPLEMENTS" if re.match(r"I[A-Z]", b.strip()) else "EXTENDS", path, language, name=b.strip(), qualified=qualified) for b in signature.split(":", 1)[1].split(",") if b.strip()]
         elif kind in ("function", "method"):
             if opening is not None:
-                out += _references(path, language, text[opening:end], qualified, masked[opening:end], signature)
+                body = masked[opening:end]
+                out += _references(path, language, text[opening:end], qualified, body, signature)
+                if owner or language in _LOCAL:
+                    out += _accesses(path, language, qualified, owner, signature, body, _types_of(language, signature, body))
+                out += [_flow(path, language, qualified, f) for f in brace_flows(body, signature, name)]
                 if not bodies or at >= bodies[-1][1]:
                     bodies.append((at, end))
             if language in _RETURNS and (m := _RETURNS[language].search(signature)):
                 out.append(_row("RETURNS", path, language, name=m[1], qualified=qualified))
+    if language in _FIELD:
+        out += _fields(path, language, text, masked, starts, [(f[1], f[3], f[4], f[8]) for f in found if f[0] in ("class", "struct", "type", "interface") and f[8] is not None], closing, {f[3] for f in found})
     edges = [0, *(x for span in bodies for x in span), len(text)]
     outside = lambda whole: " ".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2]))
     heads_gone = re.compile(r"\b(?:function|func|fn|class|interface|struct)\b[^\n{]*")
@@ -335,11 +371,67 @@ def _scan_braces(path, language, text):
     return out + _imports(path, language, text)
 
 
+def _fields(path, language, text, masked, starts, scopes, closing, heads):
+    """Field symbols: declarations on lines directly inside a type's braces."""
+    out, braces = [], sorted([*closing, *(c - 1 for c in closing.values())])
+    running, total = [], 0
+    for b in braces:
+        total += 1 if masked[b] == "{" else -1
+        running.append(total)
+    depth_at = lambda at: running[i - 1] if (i := bisect.bisect_left(braces, at)) else 0
+    for name, _, end, opening in scopes:
+        inner = depth_at(opening + 1)
+        for n in range(bisect.bisect_right(starts, opening), bisect.bisect_left(starts, end)):
+            at = starts[n]
+            line = masked[at : starts[n + 1] - 1 if n + 1 < len(starts) else len(masked)]
+            if depth_at(at) != inner or at in heads or "(" in line.partition("=")[0]:
+                continue
+            m = _FIELD[language].match(line)
+            for field in re.split(r"\s*,\s*", m["n"]) if m else []:
+                if field not in _KEYWORDS:
+                    whole = " ".join(text[at : at + len(line)].split())
+                    out.append(_row("SYMBOL", path, language, "field", field, f"{name}.{field}", name, n + 1, n + 1, whole, _hash(whole)))
+    return out
+
+
 def _go_modules(path: str, text: str) -> list[tuple]:
     m = re.search(r"^module\s+(\S+)", text, re.M)
     return [_row("MODULE", path, "Go module", name=m[1], container="go", detail=posixpath.dirname(path))] if m else []
 
 
+_CONFIG = {"Dockerfile": ("docker/", 0.85), "JSON": ("json/", 0.65), "TOML": ("toml/", 0.7), "Make": ("make/", 0.75), "YAML": ("yaml/", 0.75)}
+_HCL_BLOCK = re.compile(r'^(?P<type>\w+)((?:\s+"[^"]+")*)\s*\{', re.M)
+
+
+def _scan_hcl(path, text):
+    """Blocks with their bodies; a block configures its address and depends on the addresses that its body names."""
+    out, masked = [], mask(re.sub(r"#[^\n]*", lambda m: " " * len(m[0]), text))
+    spots = list(_HCL_BLOCK.finditer(text))
+    for i, m in enumerate(spots):
+        labels = re.findall(r'"([^"]+)"', m[2])
+        kind, limit = m["type"], spots[i + 1].start() if i + 1 < len(spots) else len(text)
+        depth = end = 0
+        for b in re.finditer(r"[{}]", masked[m.start() : limit]):
+            depth += 1 if b[0] == "{" else -1
+            if not depth:
+                end = m.start() + b.end()
+                break
+        end = end or limit
+        name, qualified = labels[-1] if labels else kind, ".".join([kind, *labels])
+        address = ".".join(labels) if kind == "resource" else f"var.{name}" if kind == "variable" else qualified
+        first, body = 1 + text.count("\n", 0, m.start()), text[m.start() : end]
+        out.append(_row("SYMBOL", path, "HCL", "block", name, qualified, None, first, first + body.count("\n"), " ".join(body.split()), _hash(body)))
+        out.append(_row("CONFIGURES", path, "HCL", name=qualified if kind != "resource" else address, qualified=qualified, detail="0.9"))
+        inner = text[m.end() : end]
+        for x in dict.fromkeys(re.findall(r"(?<![\w.\"])((?:data\.)?[a-z]\w*\.[A-Za-z_][\w-]*)", re.sub(r'"(?:[^"$\\]|\\.)*"', '""', inner))):
+            kinds = {"var": "variable", "module": "module", "local": None}
+            head, _, tail = x.partition(".")
+            target = x if head == "data" else f"{kinds[head]}.{tail}" if kinds.get(head) else None if head in kinds else f"resource.{x}"
+            if target and target != qualified:
+                out.append(_row("RESOURCE_DEPENDS_ON", path, "HCL", name=target, qualified=qualified, detail="0.9"))
+    return out
+
+
 def scan(path: str, language: str, text: str) -> list[tuple]:
     if language == "Python":
         return _scan_python(path, text)
@@ -348,9 +440,21 @@ def scan(path: str, language: str, text: str) -> list[tuple]:
     if posixpath.basename(path) == "go.mod":
         return [*_go_modules(path, text), _row("SYMBOL", path, language, "document", "go.mod", path, None, 1, 1 + text.count("\n"), path, _hash(text))]
     if language in _FORMATS:
+        if language == "HCL":
+            return _scan_hcl(path, text)
         kind, pattern = _FORMATS[language]
         flags = [(n + 1, m) for n, line in enumerate(text.split("\n")) if (m := re.search(pattern, line))]
-        return [_row("SYMBOL", path, language, kind, m["name"] or f"stage{i}", m["name"] or f"stage{i}", None, n, n, " ".join(m[0].split()), _hash(m[0])) for i, (n, m) in enumerate(flags)]
+        names = [m["name"] or f"stage{i}" for i, (_, m) in enumerate(flags)]
+        out = [_row("SYMBOL", path, language, kind, name, name, None, n, n, " ".join(m[0].split()), _hash(m[0])) for name, (n, m) in zip(names, flags)]
+        if language in _CONFIG:
+            prefix, sure = _CONFIG[language]
+            out += [_row("CONFIGURES", path, language, name=f"{prefix}{name}", qualified=name, detail=str(sure)) for name in dict.fromkeys(names)]
+        if language == "Dockerfile":
+            for n, line in enumerate(text.split("\n")):
+                if (m := re.match(r"\s*(?:COPY|ADD)\s+.*--from=(\S+)", line)) and (stage := [name for name, (at, _) in zip(names, flags) if at <= n]):
+                    source = names[int(m[1])] if m[1].isdigit() and int(m[1]) < len(names) else m[1]
+                    out.append(_row("RESOURCE_DEPENDS_ON", path, language, name=source, qualified=stage[-1], detail="0.9"))
+        return out
     return [_row("SYMBOL", path, language, "document", path.rpartition("/")[2], path, None, 1, 1 + text.count("\n"), path, _hash(text))]
 
 
@@ -482,6 +586,35 @@ def relations(files: DataFrame, repo: str = "repo") -> DataFrame:
     target_kind = F.when(F.col("to_kind") == "external", "external").otherwise("symbol")
     out.append(edge(resolved, F.col("src"), F.col("to"), call_type, F.col("conf"), F.col("res"), target_kind))
     out.append(edge(resolved.filter("kind = 'async'"), F.col("src"), F.col("to"), "ASYNC_CALLS", 0.85, "exact", target_kind))
+    # data flows follow resolved calls of the function: results from the callee, arguments to it
+    flows = rows.filter("record = 'FLOW'").select(F.col("path").alias("fl_path"), F.col("qualified").alias("fl_owner"), F.col("name").alias("fl_name"), F.col("detail").alias("way")).distinct()
+    certain = resolved.filter((F.col("to_kind") != "external") & F.col("res").isin("exact", "import_resolved", "package", "type_inferred")).select("path", F.col("qualified").alias("by"), "name", "src", "to", "res").distinct()
+    flowing = certain.join(flows, (F.col("path") == F.col("fl_path")) & (F.col("by") == F.col("fl_owner")) & (F.col("name") == F.col("fl_name")))
+    out.append(edge(flowing.filter("way = 'return'"), F.col("to"), F.col("src"), "DATA_FLOWS", 0.75, F.col("res"), "symbol"))
+    out.append(edge(flowing.filter("way = 'forward' and res in ('exact', 'import_resolved')"), F.col("src"), F.col("to"), "DATA_FLOWS", 0.70, F.col("res"), "symbol"))
+    # types that signatures name, and fields of known types
+    declared = table.filter(F.col("kind").isin("class", "struct", "type", "interface", "trait", "enum")).groupBy(F.col("name").alias("d_name")).agg(F.count(F.lit(1)).alias("d_n"), F.min("id").alias("d_id")).filter("d_n = 1")
+    signed = table.filter(F.col("kind").isin("function", "method")).withColumn("at", F.expr("locate(concat(name, '('), signature)")).filter("at > 0")
+    tail = F.expr("substring(signature, at + length(name) + 1)")
+    signed = signed.withColumn("inside", F.substring_index(tail, ")", 1)).withColumn("rest", F.expr("substring(substring(signature, at + length(name) + 1), length(inside) + 2)"))
+    signed = signed.withColumn("rest", F.when(F.col("language").isin("Java", "C#"), F.expr("substring(signature, 1, at - 1)")).otherwise(F.col("rest")))
+    for names, kinds in (("inside", ["PARAM_TYPE", "USES_TYPE"]), ("rest", ["RETURNS_TYPE", "USES_TYPE"])):
+        said_types = signed.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(names), F.lit(r"\b([A-Z][A-Za-z0-9_]*)\b"), F.lit(1)))).alias("d_name")).join(declared, "d_name").filter("id <> d_id")
+        out += [edge(said_types, F.col("id"), F.col("d_id"), kind, 0.85, "exact", "symbol") for kind in kinds]
+    fields = table.filter("kind = 'field'").groupBy(F.col("container").alias("f_in"), F.col("name").alias("f_name")).agg(F.count(F.lit(1)).alias("f_n"), F.min("id").alias("f_id"))
+    own_fields = table.filter("kind = 'field'").groupBy(F.col("file_path").alias("g_path"), F.col("container").alias("g_in"), F.col("name").alias("g_name")).agg(F.min("id").alias("g_id"))
+    access = rows.filter(F.col("record").isin("READS_FIELD", "WRITES_FIELD", "ACCESSES")).join(owner, (F.col("path") == F.col("o_path")) & (F.col("qualified") == F.col("o_name")))
+    access = access.join(own_fields, (F.col("path") == F.col("g_path")) & (F.col("container") == F.col("g_in")) & (F.col("name") == F.col("g_name")), "left").join(fields.filter("f_n = 1"), (F.col("container") == F.col("f_in")) & (F.col("name") == F.col("f_name")), "left")
+    access = access.withColumn("field", F.coalesce("g_id", "f_id")).filter("field is not null")
+    out.append(edge(access, F.col("o_id"), F.col("field"), F.col("record"), F.col("detail").cast("double"), "type_inferred", "symbol"))
+    # configuration and resources
+    settings = held.filter("record = 'CONFIGURES'")
+    out.append(edge(settings, F.col("src"), F.concat(F.lit("external:config:"), "name"), "CONFIGURES", F.col("detail").cast("double"), "pattern", "config"))
+    places = table.select(F.col("language").alias("r_language"), F.regexp_extract("file_path", "^(.*/)?[^/]*$", 1).alias("r_dir"), F.when(F.col("language") == "HCL", "").otherwise(F.col("file_path")).alias("r_path"), F.col("qualified_name").alias("r_name"), F.col("id").alias("r_id")).filter("r_language in ('HCL', 'Dockerfile')")
+    places = places.groupBy("r_language", "r_dir", "r_path", "r_name").agg(F.min("r_id").alias("r_id"))
+    needs = held.filter("record = 'RESOURCE_DEPENDS_ON'").withColumns({"n_dir": F.regexp_extract("path", "^(.*/)?[^/]*$", 1), "n_path": F.when(F.col("language") == "HCL", "").otherwise(F.col("path"))})
+    needs = needs.join(places, (F.col("language") == F.col("r_language")) & (F.col("n_dir") == F.col("r_dir")) & (F.col("n_path") == F.col("r_path")) & (F.col("name") == F.col("r_name"))).filter("src <> r_id")
+    out.append(edge(needs, F.col("src"), F.col("r_id"), "RESOURCE_DEPENDS_ON", F.col("detail").cast("double"), "exact", "symbol"))
     # tests, imports, routes, channels
     subject = table.filter(F.col("kind").isin("function", "method")).withColumn("subject", F.coalesce(*[F.when(F.regexp_extract("name", p, 1) != "", F.regexp_extract("name", p, 1)) for p in ("^(?:Test|test_?)(\\w+)$", "^(\\w+?)_?[Tt]est$")]))
     units = callable_.filter(~F.col("name").rlike("^(Test|test)|[Tt]est$")).groupBy(F.lower("name").alias("u")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u_id")).filter("n = 1")

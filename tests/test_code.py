@@ -41,6 +41,9 @@ MIXED = {
     "store/db.go": "package store\n\ntype DB struct {\n}\n\nfunc (d *DB) Close() {}\n\nfunc Open() *DB {\n\td := DB{}\n\td.Close()\n\treturn nil\n}\n",
     "j/src/com/x/A.java": "package com.x;\n\nimport com.x.B;\n\nclass A {\n  void run(B b) {\n    b.work();\n    new B().work();\n  }\n}\n", "j/src/com/x/B.java": "package com.x;\n\nclass B {\n  void work() {\n  }\n}\n",
     "w/a.ts": "import { load as pull } from './lib/b';\nimport * as c from './c';\nimport React from 'react';\n\nexport function go2() {\n  pull();\n  c.other();\n}\nboot();\nfunction boot() {\n}\n", "w/lib/b/index.ts": "export function load() {\n}\n", "w/c.ts": "export function other() {\n}\n",
+    "f/flow.py": "def make(x):\n    return x\n\n\ndef other(x):\n    return x\n\n\ndef one(p):\n    return make(1)\n\n\ndef two(p):\n    q = p\n    other(q)\n    v = make(2)\n    return v\n",
+    "f/acc.go": "package bank\n\ntype Account struct {\n\tID      string\n\tBalance int\n}\n\nfunc Start(name string) Account {\n\treturn Account{}\n}\n\nfunc (a *Account) Deposit(n int) {\n\tm := a.Balance + n\n\ta.Balance = m\n}\n\nfunc Look(acc *Account) *string {\n\treturn &acc.ID\n}\n",
+    "t/main.tf": 'variable "cidr" {\n}\n\nresource "aws_vpc" "main" {\n  cidr_block = var.cidr\n}\n\nmodule "gw" {\n  vpc_id = aws_vpc.main.id\n}\n', "Dockerfile": "FROM a AS builder\nFROM b AS runtime\nCOPY --from=builder /x /y\n",
     "r/src/lib.rs": "use crate::util::io;\n", "r/src/util.rs": "pub fn io() {}\n", "big.js": "x" * 2_000_000, "min.js": "y();" * 5000,
 }
 
@@ -65,6 +68,13 @@ def mixed(spark):
     ("Go:store/db.go:function:Open", "Go:store/db.go:method:DB.Close", "CALLS", (0.85, "type_inferred")), ("Java:j/src/com/x/A.java:method:A.run", "Java:j/src/com/x/B.java:method:B.work", "CALLS", (0.83, "type_inferred")),
     ("TypeScript:w/a.ts:function:go2", "TypeScript:w/lib/b/index.ts:function:load", "CALLS", (0.86, "import_resolved")), ("TypeScript:w/a.ts:function:go2", "TypeScript:w/c.ts:function:other", "CALLS", (0.86, "import_resolved")),
     ("file:w/a.ts", "TypeScript:w/a.ts:function:boot", "CALLS", (0.92, "exact")),
+    ("Python:f/flow.py:function:make", "Python:f/flow.py:function:one", "DATA_FLOWS", (0.75, "exact")), ("Python:f/flow.py:function:make", "Python:f/flow.py:function:two", "DATA_FLOWS", (0.75, "exact")),
+    ("Python:f/flow.py:function:two", "Python:f/flow.py:function:other", "DATA_FLOWS", (0.7, "exact")), ("Python:f/flow.py:function:one", "Python:f/flow.py:function:make", "DATA_FLOWS", None),
+    ("Go:f/acc.go:method:Account.Deposit", "Go:f/acc.go:field:Account.Balance", "READS_FIELD", (0.9, "type_inferred")), ("Go:f/acc.go:method:Account.Deposit", "Go:f/acc.go:field:Account.Balance", "WRITES_FIELD", (0.9, "type_inferred")),
+    ("Go:f/acc.go:function:Look", "Go:f/acc.go:field:Account.ID", "ACCESSES", (0.83, "type_inferred")), ("Go:f/acc.go:type:Account", "Go:f/acc.go:field:Account.ID", "CONTAINS", (1.0, "exact")),
+    ("Go:f/acc.go:function:Start", "Go:f/acc.go:type:Account", "RETURNS_TYPE", (0.85, "exact")), ("Go:f/acc.go:function:Look", "Go:f/acc.go:type:Account", "PARAM_TYPE", (0.85, "exact")), ("Go:f/acc.go:function:Look", "Go:f/acc.go:type:Account", "USES_TYPE", (0.85, "exact")),
+    ("HCL:t/main.tf:block:resource.aws_vpc.main", "HCL:t/main.tf:block:variable.cidr", "RESOURCE_DEPENDS_ON", (0.9, "exact")), ("HCL:t/main.tf:block:module.gw", "HCL:t/main.tf:block:resource.aws_vpc.main", "RESOURCE_DEPENDS_ON", (0.9, "exact")),
+    ("HCL:t/main.tf:block:resource.aws_vpc.main", "external:config:aws_vpc.main", "CONFIGURES", (0.9, "pattern")), ("Dockerfile:Dockerfile:stage:runtime", "Dockerfile:Dockerfile:stage:builder", "RESOURCE_DEPENDS_ON", (0.9, "exact")),
 ])
 def test_imports_and_receivers(mixed, source, target, kind, expected):
     assert mixed.get((source, target, kind)) == expected
@@ -84,7 +94,7 @@ def test_the_brace_scanner_is_linear():
 
     one = "function f%d(a) {\n  if (a) { g(a); }\n  return a.b.c(1);\n}\n"
     began = time.time()
-    assert len(code.scan("x.js", "JavaScript", "".join(one % i for i in range(15000)))) == 45000
+    assert len(code.scan("x.js", "JavaScript", "".join(one % i for i in range(15000)))) >= 45000
     assert time.time() - began < 30
 
 
@@ -117,3 +127,51 @@ def test_clone_pairs_are_similar(spark, sf):
     for r in similarity.clone_pairs(docs).collect():
         a, b = sorted((rep[r.left], rep[r.right]))
         assert a == b or (a, b) in exact
+
+
+def test_flow_kinds_of_python():
+    import ast
+
+    from loomgraph.sources.flows import brace_flows, python_flows
+
+    text = """
+def f(p, r):
+    a = p
+    b = a
+    c, d = p
+    o = {"k": p}
+    xs = [p]
+    ys = []
+    ys.append(p)
+    z = Box()
+    z.v = p
+    e = r.field
+    g1(p); g2(b); g3(c); g4(o); g5(xs); g6(ys); g7(z); g8(e); g9(r.field); g10({"k": p}); g11([p])
+    for x in p:
+        g12(x)
+    if r:
+        w = h1()
+    else:
+        w = h2()
+    u, v = h3()
+    t = 1 + h4()
+    s = h5()
+    if r: return w
+    if r: return u
+    if r: return t
+    if r: return s
+    if r: return s.name
+    if r: return h6() if r else h7()
+    if r: return h8() or h9()
+    return h10(1)
+"""
+    got = {(n, kind.removesuffix("_flow")) for n, kind, _ in python_flows(ast.parse(text).body[0])}
+    assert got >= {
+        ("g1", "argument_forward"), ("g2", "alias_forward"), ("g3", "destructured_alias_forward"), ("g4", "object_literal_forward"), ("g5", "collection_literal_forward"), ("g6", "collection_element_forward"),
+        ("g7", "object_field_forward"), ("g8", "parameter_property_alias_forward"), ("g9", "parameter_property_forward"), ("g10", "direct_literal_forward"), ("g11", "direct_literal_forward"), ("g12", "callback_element_forward"),
+        ("h1", "branch_assigned_return"), ("h2", "branch_assigned_return"), ("h3", "destructured_return"), ("h4", "expression_assigned_return"), ("h5", "assigned_return"), ("h5", "property_assigned_return"),
+        ("h6", "ternary_return"), ("h7", "ternary_return"), ("h8", "fallback_return"), ("h9", "fallback_return"), ("h10", "return"),
+    }
+    body = "{ const a = p; const v = h1(1); const { x, y } = h2(); g1(p); g2(a); g3(q.z); if (p) return v; if (q) return x; if (p) return c ? h3() : h4(); if (p) return h5() || h6(); return h7(); }"
+    got = {(n, kind.removesuffix("_flow")) for n, kind, _ in brace_flows(body, "function f(p, q)", "f")}
+    assert got >= {("g1", "argument_forward"), ("g2", "alias_forward"), ("g3", "parameter_property_forward"), ("h1", "assigned_return"), ("h2", "destructured_return"), ("h3", "ternary_return"), ("h4", "ternary_return"), ("h5", "fallback_return"), ("h6", "fallback_return"), ("h7", "return")}
