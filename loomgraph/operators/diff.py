@@ -29,11 +29,22 @@ def pair(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
 def rename_candidates(removed: DataFrame, added: DataFrame, threshold: float) -> DataFrame:
     """Removed and added entities of one kind whose token sets are alike by Jaccard, the best added per removed (ties: smaller id).
 
-    Candidates meet on shared tokens (an inverted index), never as all pairs of a kind. (id, kind, tokens array)"""
-    r = removed.select(F.col("id").alias("old_id"), "kind", F.array_distinct("tokens").alias("ot")).withColumn("token", F.explode("ot"))
-    a = added.select(F.col("id").alias("new_id"), "kind", F.array_distinct("tokens").alias("nt")).withColumn("token", F.explode("nt"))
-    shared = r.join(a, ["kind", "token"]).groupBy("old_id", "new_id", F.size("ot").alias("no"), F.size("nt").alias("nn")).agg(F.count(F.lit(1)).alias("both"))
-    scored = shared.withColumn("similarity", F.round(F.col("both") / (F.col("no") + F.col("nn") - F.col("both")), 4)).filter(F.col("similarity") >= threshold)
+    (id, kind, tokens array). Two sets that are this alike share one of the first n - ceil(threshold n) + 1 tokens of either, rarest first,
+    so only those meet: a token that all of a kind have joins nothing unless a set has no rarer ones."""
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), "kind", F.array_distinct("tokens").alias(f"{p}_tokens")).filter(F.size(f"{p}_tokens") > 0)
+    r, a = side(removed, "old"), side(added, "new")
+    tokens = lambda df, p: df.select("kind", f"{p}_id", F.size(f"{p}_tokens").alias("n"), F.explode(f"{p}_tokens").alias("token"))
+    counts = tokens(r, "old").select("kind", "token").unionByName(tokens(a, "new").select("kind", "token")).groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
+
+    def first(df: DataFrame, p: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(f"{p}_id", "kind").orderBy("df", "token"))
+        ranked = tokens(df, p).join(counts, ["kind", "token"]).withColumn("nth", nth)
+        return ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("kind", "token", f"{p}_id")
+
+    met = first(r, "old").join(first(a, "new"), ["kind", "token"]).select("kind", "old_id", "new_id").distinct()
+    both = F.size(F.array_intersect("old_tokens", "new_tokens"))
+    scored = met.join(r, ["kind", "old_id"]).join(a, ["kind", "new_id"]).withColumn("exact", both / (F.size("old_tokens") + F.size("new_tokens") - both))
+    scored = scored.withColumn("similarity", F.round("exact", 4)).filter(F.col("exact") >= threshold)
     best = Window.partitionBy("old_id").orderBy(F.desc("similarity"), "new_id")
     return scored.withColumn("n", F.row_number().over(best)).filter("n = 1").select("old_id", "new_id", "similarity")
 

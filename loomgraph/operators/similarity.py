@@ -70,7 +70,8 @@ def clone_pairs(bodies: DataFrame, key: str = "doc_id", text: str = "text", thre
 
     @F.pandas_udf("double")
     def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float((np.frombuffer(x, np.uint64) == np.frombuffer(y, np.uint64)).mean()) for x, y in zip(a, b)])
+        stack = lambda c: np.frombuffer(b"".join(c), np.uint64).reshape(len(c), -1)
+        return pd.Series((stack(a) == stack(b)).mean(axis=1)) if len(a) else pd.Series(dtype=float)
 
     return pairs.withColumn("estimate", agree("a", "b")).filter(F.col("estimate") >= threshold).select("left", "right", F.round("estimate", 2).alias("estimate"))
 

@@ -395,16 +395,24 @@ def semantic_diff(spark, d):
     return entity_pairing(spark, d).groupBy("kind", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
-_RENAME = "WITH r AS (SELECT p_partkey AS id, p_type AS kind, list_distinct(string_split(p_name || ' ' || p_brand || ' k' || p_partkey, ' ')) AS t FROM part WHERE p_partkey % 3 = 0), a AS (SELECT p_partkey + 1000000000 AS id, p_type AS kind, list_distinct(string_split(p_name || ' renamed ' || p_brand || ' k' || p_partkey, ' ')) AS t FROM part WHERE p_partkey % 6 = 0), s AS (SELECT r.id AS old_id, a.id AS new_id, round(len(list_intersect(r.t, a.t)) / (len(r.t) + len(a.t) - len(list_intersect(r.t, a.t))), 4) AS similarity FROM r JOIN a ON r.kind = a.kind AND len(list_intersect(r.t, a.t)) > 0), b AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY similarity DESC, new_id) AS n FROM s WHERE similarity >= 0.6) SELECT old_id, new_id, similarity FROM b WHERE n = 1"
+_RENAME = """WITH b AS (SELECT p_partkey AS id, p_type AS kind, p_name AS name, p_brand AS brand FROM part),
+n AS (SELECT id + 1000000000 AS id, id AS was, kind, CASE WHEN id % 3 = 0 THEN name || ' renamed' ELSE name END AS name, brand FROM b WHERE id % 7 <> 0),
+r AS (SELECT id, kind, list_distinct(string_split(name || ' ' || brand || ' k' || id, ' ')) AS t FROM b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.was = b.id AND n.name = b.name)),
+a AS (SELECT id, kind, list_distinct(string_split(name || ' ' || brand || ' k' || was, ' ')) AS t FROM n WHERE NOT EXISTS (SELECT 1 FROM b WHERE n.was = b.id AND n.name = b.name)),
+s AS (SELECT r.id AS old_id, a.id AS new_id, len(list_intersect(r.t, a.t)) / (len(r.t) + len(a.t) - len(list_intersect(r.t, a.t))) AS exact FROM r JOIN a ON r.kind = a.kind),
+k AS (SELECT *, round(exact, 4) AS similarity, row_number() OVER (PARTITION BY old_id ORDER BY round(exact, 4) DESC, new_id) AS n FROM s WHERE exact >= 0.6)
+SELECT old_id, new_id, similarity FROM k WHERE n = 1"""
 
 
 @query(_RENAME)
 def rename_match(spark, d):
-    """A derived pair of versions: a third of the parts are removed, half of these come back under another name."""
-    p = tables.table(spark, d, "part")
-    own = F.concat(F.lit(" k"), F.col("p_partkey"))
-    removed = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.split(F.concat("p_name", F.lit(" "), "p_brand", own), " ").alias("tokens"))
-    added = p.filter("p_partkey % 6 = 0").select((F.col("p_partkey") + 1000000000).alias("id"), F.col("p_type").alias("kind"), F.split(F.concat("p_name", F.lit(" renamed "), "p_brand", own), " ").alias("tokens"))
+    """Both versions of the whole table: in the later one some parts are gone and some have another name."""
+    before = tables.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    after = before.filter("id % 7 <> 0").withColumns({"was": F.col("id"), "name": F.when(F.col("id") % 3 == 0, F.concat("name", F.lit(" renamed"))).otherwise(F.col("name"))})
+    tokens = lambda key: F.split(F.concat("name", F.lit(" "), "brand", F.lit(" k"), key), " ")
+    left, came = after.select(F.col("was").alias("id"), "name"), before.select(F.col("id").alias("was"), "name")
+    removed = before.join(left, ["id", "name"], "left_anti").select("id", "kind", tokens("id").alias("tokens"))
+    added = after.join(came, ["was", "name"], "left_anti").select((F.col("was") + 1000000000).alias("id"), "kind", tokens("was").alias("tokens"))
     return diff.rename_candidates(removed, added, 0.6)
 
 
