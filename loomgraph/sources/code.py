@@ -20,14 +20,20 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.session import materialize, ship_package
+from loomgraph.sources import services
 from loomgraph.sources.flows import brace_flows, python_flows
 
 EXTENSIONS = {
-    "py": "Python", "go": "Go", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "java": "Java", "cs": "C#", "rs": "Rust", "php": "PHP",
-    "md": "Markdown", "json": "JSON", "toml": "TOML", "tf": "HCL", "css": "CSS", "html": "HTML", "yaml": "YAML", "yml": "YAML", "proto": "Protocol Buffers", "sql": "SQL", "mk": "Make",
+    "py": "Python", "pyi": "Python", "pyw": "Python", "go": "Go", "ts": "TypeScript", "tsx": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript",
+    "java": "Java", "cs": "C#", "rs": "Rust", "php": "PHP", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "hh": "C++", "hxx": "C++", "m": "Objective-C", "mm": "Objective-C",
+    "rb": "Ruby", "rake": "Ruby", "kt": "Kotlin", "kts": "Kotlin", "swift": "Swift", "scala": "Scala", "sc": "Scala", "lua": "Lua", "r": "R", "jl": "Julia", "hs": "Haskell", "ml": "OCaml", "mli": "OCaml", "erl": "Erlang", "hrl": "Erlang",
+    "ex": "Elixir", "exs": "Elixir", "clj": "Clojure", "cljs": "Clojure", "cljc": "Clojure", "dart": "Dart", "zig": "Zig", "fs": "F#", "fsi": "F#", "fsx": "F#", "pl": "Perl", "pm": "Perl", "sh": "Shell", "bash": "Shell", "zsh": "Shell",
+    "groovy": "Groovy", "gradle": "Groovy", "cue": "CUE", "sol": "Solidity", "ps1": "PowerShell", "elm": "Elm", "nix": "Nix", "vue": "Vue", "svelte": "Svelte",
+    "md": "Markdown", "markdown": "Markdown", "json": "JSON", "toml": "TOML", "tf": "HCL", "hcl": "HCL", "tfvars": "HCL", "css": "CSS", "scss": "CSS", "less": "CSS", "html": "HTML", "htm": "HTML", "xml": "XML", "yaml": "YAML", "yml": "YAML",
+    "proto": "Protocol Buffers", "sql": "SQL", "mk": "Make", "graphql": "GraphQL", "gql": "GraphQL", "ini": "INI", "cfg": "INI", "txt": "Text", "rst": "reStructuredText",
 }
-NAMES = {"Dockerfile": "Dockerfile", "Makefile": "Make"}
-SHEBANGS = {"python": "Python", "node": "JavaScript", "php": "PHP", "bash": "Shell", "sh": "Shell"}
+NAMES = {"Dockerfile": "Dockerfile", "Containerfile": "Dockerfile", "Makefile": "Make", "GNUmakefile": "Make", "Rakefile": "Ruby", "Gemfile": "Ruby", "Jenkinsfile": "Groovy", "go.mod": "Go module", "kustomization": "YAML"}
+SHEBANGS = {"python": "Python", "node": "JavaScript", "deno": "TypeScript", "php": "PHP", "bash": "Shell", "sh": "Shell", "zsh": "Shell", "dash": "Shell", "ksh": "Shell", "ruby": "Ruby", "perl": "Perl", "lua": "Lua", "Rscript": "R", "julia": "Julia", "groovy": "Groovy", "escript": "Erlang", "elixir": "Elixir"}
 MAX_BYTES = 1 << 20
 SYMBOL = "id string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int, signature string, body_hash string, language string, container string"
 ROW = "record string, path string, language string, kind string, name string, qualified string, container string, start_line int, end_line int, signature string, body_hash string, receiver string, detail string"
@@ -43,7 +49,7 @@ _HEADS["JavaScript"], _HEADS["C#"] = _HEADS["TypeScript"], _HEADS["Java"]
 _FORMATS = {
     "Markdown": ("section", r"^#{1,6}\s+(?P<name>.+?)\s*#*$"), "TOML": ("section", r"^\[+(?P<name>[^\]]+)\]+"), "JSON": ("setting", r'^\s{1,4}"(?P<name>[^"]+)"\s*:'), "Make": ("target", r"^(?P<name>[\w./-]+)\s*:(?!=)"),
     "CSS": ("block", r"^(?P<name>[.#@\w][^{]*?)\s*\{"), "HCL": ("block", r'^(?P<name>\w+(?:\s+"[^"]+")*)\s*\{'), "Dockerfile": ("stage", r"^FROM\s+\S+(?:\s+[Aa][Ss]\s+(?P<name>\S+))?"), "YAML": ("section", r"^(?P<name>[\w.-]+):"),
-    "HTML": ("section", r"<h[1-6][^>]*>(?P<name>[^<]+)</h[1-6]>"), "Protocol Buffers": ("message", r"^\s*(?:message|service|enum)\s+(?P<name>\w+)"), "SQL": ("table", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:table|view|function)\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w.\"]+)"),
+    "HTML": ("section", r"<h[1-6][^>]*>(?P<name>[^<]+)</h[1-6]>"), "SQL": ("table", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:table|view|function)\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w.\"]+)"),
 }
 _KEYWORDS = set("if for while switch catch return function new super this typeof await match sizeof using lock foreach elif else do try throw var let const func fn class def print".split())
 _SCOPES = {"class", "interface", "enum", "struct", "trait", "impl", "type"}
@@ -80,12 +86,14 @@ _HEADER_BASES = re.compile(r"\b(extends|implements)\s+([\w\s,.<>]+?)(?=\bimpleme
 
 
 def with_language(files: DataFrame) -> DataFrame:
-    """files(path, content) with language, bytes and lines: by file name, then extension, then interpreter line."""
+    """files(path, content) with language, bytes and lines: by file name, then extension, then interpreter line; a header by what it holds."""
     base = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(base, r"\.([A-Za-z0-9]+)$", 1))
     table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
     interpreter = F.regexp_replace(F.regexp_extract(F.substring("content", 1, 1024), r"^#!\s*\S*?(?:env\s+)?([A-Za-z]+)[0-9.]*\s*(?:\n|$)", 1), "[0-9.]+$", "")
     found = F.coalesce(F.try_element_at(table(NAMES), base), F.try_element_at(table(EXTENSIONS), ext), F.try_element_at(table(SHEBANGS), interpreter), F.lit("unknown"))
+    header = F.when(F.col("content").rlike(r"(?m)^\s*@(?:interface|protocol|class|property)\b|^\s*#import\b"), "Objective-C").when(F.col("content").rlike(r"(?m)^\s*(?:class\s+\w+|namespace\s+\w+|template\s*<|using\s+\w+|(?:public|private|protected)\s*:)"), "C++").otherwise("C")
+    found = F.when(ext == "h", header).otherwise(found)
     return files.withColumns({"language": found, "bytes": F.octet_length("content").cast("long"), "lines": F.size(F.split("content", "\n"))})
 
 
@@ -358,6 +366,11 @@ def _scan_braces(path, language, text):
                 if owner or language in _LOCAL:
                     out += _accesses(path, language, qualified, owner, signature, body, _types_of(language, signature, body))
                 out += [_flow(path, language, qualified, f) for f in brace_flows(body, signature, name)]
+                if language in ("TypeScript", "JavaScript"):
+                    whole = text[opening:end]
+                    if re.search(r"\b(?:gql|graphql)\b|`\s*(?:query|mutation|subscription)\b", whole):
+                        out += [_row("HANDLES_GRAPHQL", path, language, name=x, qualified=qualified, detail=str(sure)) for x, sure in services.graphql_operations(whole)]
+                    out += [_row("HANDLES_TRPC", path, language, name=x, qualified=qualified, detail="0.8") for x in services.trpc_procedures(body)]
                 if not bodies or at >= bodies[-1][1]:
                     bodies.append((at, end))
             if language in _RETURNS and (m := _RETURNS[language].search(signature)):
@@ -399,6 +412,26 @@ def _go_modules(path: str, text: str) -> list[tuple]:
     return [_row("MODULE", path, "Go module", name=m[1], container="go", detail=posixpath.dirname(path))] if m else []
 
 
+def _scan_proto(path, text):
+    lines, out = text.split("\n"), []
+    for kind, name, qualified, container, n in services.proto_symbols(text):
+        head = " ".join(lines[n - 1].split())
+        out.append(_row("SYMBOL", path, "Protocol Buffers", kind, name, qualified, container, n, n, head, _hash(head)))
+        if kind == "rpc" and container:
+            out.append(_row("HANDLES_GRPC", path, "Protocol Buffers", name=f"{container}/{name}", qualified=qualified, detail="0.95"))
+    return out
+
+
+def _scan_graphql(path, text):
+    out = []
+    for operation, field in services.graphql_schema(text):
+        n = 1 + text.count("\n", 0, m.start()) if (m := re.search(rf"^\s*{field}\b", text, re.M)) else 1
+        head = f"{operation} {field}"
+        out.append(_row("SYMBOL", path, "GraphQL", "field", field, f"{operation.capitalize()}.{field}", None, n, n, head, _hash(head)))
+        out.append(_row("HANDLES_GRAPHQL", path, "GraphQL", name=head, qualified=f"{operation.capitalize()}.{field}", detail="0.9"))
+    return out
+
+
 _CONFIG = {"Dockerfile": ("docker/", 0.85), "JSON": ("json/", 0.65), "TOML": ("toml/", 0.7), "Make": ("make/", 0.75), "YAML": ("yaml/", 0.75)}
 _HCL_BLOCK = re.compile(r'^(?P<type>\w+)((?:\s+"[^"]+")*)\s*\{', re.M)
 
@@ -435,6 +468,12 @@ def _scan_hcl(path, text):
 def scan(path: str, language: str, text: str) -> list[tuple]:
     if language == "Python":
         return _scan_python(path, text)
+    if language == "Go" and not services.go_default_build(path, text):
+        return []
+    if language == "Protocol Buffers":
+        return _scan_proto(path, text)
+    if language == "GraphQL":
+        return _scan_graphql(path, text)
     if language in _HEADS:
         return _scan_braces(path, language, text)
     if posixpath.basename(path) == "go.mod":
@@ -621,6 +660,8 @@ def relations(files: DataFrame, repo: str = "repo") -> DataFrame:
     out.append(edge(subject.filter("subject is not null").join(units, F.lower("subject") == F.col("u")), F.col("id"), F.col("u_id"), "TESTS", 0.8, "name_only", "symbol"))
     inside = F.col("to_path").isNotNull()
     out.append(edge(imports, file_id(F.col("i_path")), F.when(inside, file_id(F.col("to_path"))).otherwise(F.concat(F.lit("external:import:"), "module")), "IMPORTS", F.when(inside, F.col("sure")).otherwise(0.8), F.when(inside, "import_resolved").otherwise("name_only"), F.when(inside, "file").otherwise("external")))
+    for record, node in (("HANDLES_GRPC", "grpc"), ("HANDLES_GRAPHQL", "graphql"), ("HANDLES_TRPC", "trpc")):
+        out.append(edge(held.filter(F.col("record") == record), F.col("src"), F.concat(F.lit(f"external:{node}:"), "name"), record, F.col("detail").cast("double"), "pattern", node))
     ways = {"HANDLES_ROUTE": ("route", 0.86), "HTTP_CALLS": ("route", 0.7), "EMITS": ("channel", 0.6), "LISTENS_ON": ("channel", 0.6)}
     for record, (node, conf) in ways.items():
         out.append(edge(held.filter(F.col("record") == record), F.col("src"), F.concat(F.lit(f"external:{node}:"), "name"), record, conf, "pattern", node))

@@ -44,6 +44,8 @@ MIXED = {
     "f/flow.py": "def make(x):\n    return x\n\n\ndef other(x):\n    return x\n\n\ndef one(p):\n    return make(1)\n\n\ndef two(p):\n    q = p\n    other(q)\n    v = make(2)\n    return v\n",
     "f/acc.go": "package bank\n\ntype Account struct {\n\tID      string\n\tBalance int\n}\n\nfunc Start(name string) Account {\n\treturn Account{}\n}\n\nfunc (a *Account) Deposit(n int) {\n\tm := a.Balance + n\n\ta.Balance = m\n}\n\nfunc Look(acc *Account) *string {\n\treturn &acc.ID\n}\n",
     "t/main.tf": 'variable "cidr" {\n}\n\nresource "aws_vpc" "main" {\n  cidr_block = var.cidr\n}\n\nmodule "gw" {\n  vpc_id = aws_vpc.main.id\n}\n', "Dockerfile": "FROM a AS builder\nFROM b AS runtime\nCOPY --from=builder /x /y\n",
+    "s/api.ts": "function graphqlFetch() {\n  return gql`\n    query GetUser {\n      user(id: 1) {\n        id\n      }\n    }\n  `;\n}\n\nfunction makeRouter() {\n  return router({\n    user: publicProcedure.input(z).query(() => {\n      return 1;\n    }),\n  });\n}\n",
+    "s/auth.proto": "service Auth {\n  rpc Check (A) returns (B);\n}\n\nmessage A {\n  message In {\n  }\n}\n", "s/schema.graphql": "type Query {\n  user(id: ID): User\n}\n\ntype User {\n  id: ID\n}\n", "s/only_windows.go": "package s\n\nfunc win() {}\n",
     "r/src/lib.rs": "use crate::util::io;\n", "r/src/util.rs": "pub fn io() {}\n", "big.js": "x" * 2_000_000, "min.js": "y();" * 5000,
 }
 
@@ -175,3 +177,23 @@ def f(p, r):
     body = "{ const a = p; const v = h1(1); const { x, y } = h2(); g1(p); g2(a); g3(q.z); if (p) return v; if (q) return x; if (p) return c ? h3() : h4(); if (p) return h5() || h6(); return h7(); }"
     got = {(n, kind.removesuffix("_flow")) for n, kind, _ in brace_flows(body, "function f(p, q)", "f")}
     assert got >= {("g1", "argument_forward"), ("g2", "alias_forward"), ("g3", "parameter_property_forward"), ("h1", "assigned_return"), ("h2", "destructured_return"), ("h3", "ternary_return"), ("h4", "ternary_return"), ("h5", "fallback_return"), ("h6", "fallback_return"), ("h7", "return")}
+
+
+@pytest.mark.parametrize(("path", "head", "built"), [
+    ("a.go", "", True), ("a_windows.go", "", False), ("a_linux.go", "", True), ("a_linux_arm64.go", "", False), ("a_darwin_test.go", "", False), ("a_linux_amd64_test.go", "", True), ("windows.go", "", True),
+    ("a.go", "//go:build linux && !arm64\n", True), ("a.go", "//go:build windows || (darwin && cgo)\n", False), ("a.go", "//go:build ignore\n", False), ("a.go", "//go:build !windows\n", True), ("a.go", "//go:build go1.21 && unix\n", True),
+])
+def test_go_default_build(path, head, built):
+    from loomgraph.sources.services import go_default_build
+
+    assert go_default_build(path, head + "\npackage x\n\n//go:build never\n") is built
+
+
+def test_languages(spark):
+    table = {
+        "a.rb": ("", "Ruby"), "x/Dockerfile": ("", "Dockerfile"), "run": ("#!/usr/bin/env python3.11\n", "Python"), "tool": ("#!/bin/sh\n", "Shell"), "a.h": ("int x;\n", "C"), "b.h": ("namespace n {\n}\n", "C++"),
+        "c.h": ("@interface A\n", "Objective-C"), "a.unknown": ("", "unknown"), "A.TSX": ("", "TypeScript"),
+    }
+    rows = spark.createDataFrame([(p, c) for p, (c, _) in table.items()], "path string, content string")
+    assert {r.path: r.language for r in code.with_language(rows).collect()} == {p: language for p, (_, language) in table.items()}
+    assert len(code.EXTENSIONS) >= 77
