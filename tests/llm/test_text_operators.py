@@ -411,6 +411,7 @@ def test_links_within_large_mixed_groups_equal_brute_force(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "POSTINGS", postings)
         monkeypatch.setattr(near_dedup, "BATCH_CHARS", chars)
         monkeypatch.setattr(near_dedup, "HOT", hot)
+        monkeypatch.setattr(near_dedup, "CELL_SHINGLES", chars // 4)
         got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r.doc_id: r.n_links for r in got} == {i: degree[i] for i, _ in rows}
         assert partition((r.doc_id, r.class_id) for r in got) == partition(zip([i for i, _ in rows], classes))
