@@ -52,6 +52,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap joined, as an assignment and the hex run in it do."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 def _near(spans: list[tuple[int, int]], start: int, end: int, reach: int) -> bool:
     """Whether one of the sorted, disjoint spans lies within `reach` of [start, end)."""
     i = bisect.bisect_left(spans, (start, 0))
@@ -94,7 +105,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
     breaks = [m.start() for m in BREAK.finditer(text)]
     scope = lambda at: bisect.bisect_right(breaks, at)
     parts: dict[int, dict[str, list[tuple[int, int]]]] = {}
-    for name, spans in (("access", [(s, e) for s, k, e in base if k == 1]), ("secret", [(s, e) for s, k, e in base if k != 1]), ("token", tokens), ("endpoint", endpoints), ("identifier", ids)):
+    for name, spans in (("access", [(s, e) for s, k, e in base if k == 1]), ("secret", _merged([(s, e) for s, k, e in base if k != 1])), ("token", tokens), ("endpoint", endpoints), ("identifier", ids)):
         for s, e in sorted(spans):
             parts.setdefault(scope(s), {}).setdefault(name, []).append((s, e))
     out = []
