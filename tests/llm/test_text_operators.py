@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from loomgraph.llm import language_id, lm_scoring, near_dedup, secret_scan, suffix_dedup, token_counts
@@ -469,6 +471,52 @@ def test_contained_texts_of_any_size_are_linked_and_go(spark):
     assert {r.doc_id for r in near_dedup.one_of_each(docs).collect()} == {0, 4, 5, 6, 7, 8, 9}
 
 
+def test_pairs_leave_a_bucket_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 50)
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*base, f"x{i}", *[f"y{j}" for j in range(i)]]) for i in range(40)]
+    batch = near_dedup.Batch(texts)
+    role = np.full(len(batch.owner), 3, dtype=np.uint8)
+    row = {"keys": near_dedup.six(near_dedup.inside(batch.keys[batch.at], 0, 1)), "owners": batch.owner.astype("<u2").tobytes(), "roles": role.tobytes()}
+    rows = pd.DataFrame([row | {"nodes": batch.nodes.tobytes(), "sizes": batch.sizes.tobytes(), "labels": b""}])
+    frames = list(near_dedup._pairs(rows, 0.7, 0.0, False))
+    assert max(map(len, frames)) <= 50 + 40
+    every = pd.concat(frames).groupby(["a", "b"])["hits"].sum()
+    assert len(every) == 40 * 39 // 2 and every.min() >= 28
+
+
+def test_classes_without_counts_need_no_square_of_pairs(spark, monkeypatch):
+    rows = mixed_groups()
+    own = iter(f"v{i}" for i in range(10**6))
+    base = [next(own) for _ in range(200)]
+    for i in range(80):  # variants of one text
+        words = list(base)
+        words[2 * i] = next(own)
+        rows.append((1000 + i, " ".join(words)))
+    whole, note = [next(own) for _ in range(320)], [next(own) for _ in range(14)]
+    texts = [whole, whole[:200], whole[60:90], whole[100:104], note] + [[next(own) for _ in range(40)] + note + [next(own) for _ in range(30 + 9 * i)] for i in range(6)]
+    rows += [(2000 + i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes, links = brute_classes(rows)
+    checked, pairs = [], near_dedup.candidate_pairs
+    monkeypatch.setattr(near_dedup, "candidate_pairs", lambda *a, **k: checked.append((out := pairs(*a, **k)).count()) or out)
+    for name, value in {"POSTINGS": 9000, "BATCH_CHARS": 40_000, "HOT": 70, "CELL_SHINGLES": 9000, "PAIRS": 1000}.items():  # several buckets, batches, squares and cells
+        monkeypatch.setattr(near_dedup, name, value)
+    got = near_dedup.near_duplicates(docs, count_links=False).collect()
+    assert "n_links" not in got[0].asDict()
+    assert partition((r.doc_id, (r.class_id, r.class_size)) for r in got) == partition(zip([i for i, _ in rows], classes))
+    assert {r.doc_id for r in got if r.kept and r.doc_id >= 2000} == {2000, *range(2005, 2011)}
+    assert len(links) >= 80 * 79 // 2 and sum(checked) < len(links) / 4, checked
+
+
+def test_components_by_one_task_and_by_rounds_are_the_same(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 7) for i in range(-20, 20)] + [(100, 99), (99, 98), (5, 5)], "a long, b long")
+    want = {(i, -20 + (i + 20) % 7) for i in range(-20, 27)} | {(i, 98) for i in (98, 99, 100)}
+    for limit in (near_dedup.EDGES_A_TASK, 0):
+        monkeypatch.setattr(near_dedup, "EDGES_A_TASK", limit)
+        assert {tuple(r) for r in near_dedup.components(edges).collect()} == want
+
+
 def edge_pairs():
     """Sixty pairs that share exactly 140 of the smaller's 200 shingles, the larger having 280, 300 or 800."""
     own = iter(f"w{i}" for i in range(10**6))
