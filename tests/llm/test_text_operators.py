@@ -500,12 +500,13 @@ def test_classes_without_counts_need_no_square_of_pairs(spark, monkeypatch):
     classes, links = brute_classes(rows)
     checked, pairs = [], near_dedup.candidate_pairs
     monkeypatch.setattr(near_dedup, "candidate_pairs", lambda *a, **k: checked.append((out := pairs(*a, **k)).count()) or out)
-    for name, value in {"POSTINGS": 9000, "BATCH_CHARS": 40_000, "HOT": 70, "CELL_SHINGLES": 9000, "PAIRS": 1000}.items():  # several buckets, batches, squares and cells
+    for name, value in {"WAVE_SHINGLES": 15_000, "POSTINGS": 9000, "BATCH_CHARS": 40_000, "HOT": 70, "CELL_SHINGLES": 9000, "PAIRS": 1000}.items():  # several waves, buckets, batches, squares and cells
         monkeypatch.setattr(near_dedup, name, value)
     got = near_dedup.near_duplicates(docs, count_links=False).collect()
     assert "n_links" not in got[0].asDict()
     assert partition((r.doc_id, (r.class_id, r.class_size)) for r in got) == partition(zip([i for i, _ in rows], classes))
     assert {r.doc_id for r in got if r.kept and r.doc_id >= 2000} == {2000, *range(2005, 2011)}
+    assert len(checked) > 2  # waves
     assert len(links) >= 80 * 79 // 2 and sum(checked) < len(links) / 4, checked
 
 
