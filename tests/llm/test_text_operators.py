@@ -252,6 +252,50 @@ def test_cross_phrases_equal_one_automaton_of_the_whole_reference(spark):
     assert got[100].cross_phrases == 1 and got[101].cross_phrases == 5000 and got[0].cross_phrases > 1
 
 
+def brute_longest(rows, good):
+    """Phrases of each row, each the longest that occurs in any reference row but its own."""
+    joined = {(r[0], r[1]): " " + " ".join(words(r[1])) + " " for r in rows if r[0] in good}
+    out = []
+    for r in rows:
+        w, i, c = words(r[1]), 0, 0
+        others = [text for owner, text in joined.items() if owner != (r[0], r[1])]
+        while i < len(w):
+            k, held = 0, others
+            while i + k < len(w) and (held := [t for t in held if " " + " ".join(w[i : i + k + 1]) + " " in t]):
+                k += 1
+            i, c = i + max(k, 1), c + 1
+        out.append((r[0], len(w), c))
+    return Counter(out)
+
+
+def test_a_phrase_never_joins_two_occurrences(spark):
+    texts = ["a b c d e f g h", "d e f g h i j k", "a b c d e f g h i j k", "x a b c d e f g h i j k"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.cross_phrases for r in lm_scoring.cross_entropy(docs, labels).collect()}
+    assert got[2] == 2 and got[3] == 3  # all windows of 5 words occur, the whole does not
+
+
+@pytest.mark.parametrize(("short", "batch_words", "bucket_grams"), [(5, 500_000, 2_000_000), (2, 300, 400)])
+def test_cross_phrases_equal_brute_force_whatever_their_length(spark, rows, short, batch_words, bucket_grams):
+    import random
+
+    rng = random.Random(12)
+    base, family = [rng.choice([f"w{i}" for i in range(40)]) for _ in range(150)], []
+    for i in range(16):  # variants of one text, so that matches end at the edits of others
+        z = list(base)
+        for _ in range(rng.randint(0, 4)):
+            z[rng.randrange(len(z))] = f"edit{rng.randrange(3)}"
+        a = rng.randrange(len(z)) if i % 4 == 3 else 0
+        family.append((200 + i, " ".join(z[a:] + z[:a])))
+    every = [(r[0], r[1]) for r in rows] + family + [family[1], (201, family[2][1]), (None, family[0][1]), (300, "ab " * 700), (301, "ab " * 900)]
+    good = {i for i in range(0, 310) if i % 3}
+    docs = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(0, 310)], "doc_id long, quality int")
+    got = lm_scoring.cross_entropy(docs, labels, batch_words=batch_words, bucket_grams=bucket_grams, short=short).collect()
+    assert Counter((r.doc_id, r.n_words, r.cross_phrases) for r in got) == brute_longest(every, good)
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 KINDS = {
