@@ -554,6 +554,22 @@ def test_classes_without_counts_need_no_square_of_pairs(spark, monkeypatch):
     assert len(links) >= 80 * 79 // 2 and sum(checked) < len(links) / 4, checked
 
 
+def test_waves_post_shingles_once(spark, monkeypatch):
+    rows = mixed_groups()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes, _ = brute_classes(rows)
+    for name, value in {"WAVE_SHINGLES": 2000, "MEETING_POSTINGS": 300, "POSTINGS": 3000, "BATCH_CHARS": 40_000, "HOT": 5}.items():
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    posted, found = [], []
+    for calls, name in ((posted, "_labelled"), (found, "candidate_pairs")):
+        monkeypatch.setattr(near_dedup, name, lambda *a, calls=calls, f=getattr(near_dedup, name), **k: calls.append(1) or f(*a, **k))
+    got = near_dedup.near_duplicates(docs, count_links=False).collect()
+    assert partition((r.doc_id, (r.class_id, r.class_size)) for r in got) == partition(zip([i for i, _ in rows], classes))
+    assert len(found) > 3 and len(posted) == 1
+    degree = Counter(i for link in brute_classes(rows)[1] for i in link)
+    assert {r.doc_id: r.n_links for r in near_dedup.near_duplicates(docs).collect()} == {i: degree[i] for i, _ in rows}
+
+
 def test_components_by_one_task_and_by_rounds_are_the_same(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 7) for i in range(-20, 20)] + [(100, 99), (99, 98), (5, 5)], "a long, b long")
     want = {(i, -20 + (i + 20) % 7) for i in range(-20, 27)} | {(i, 98) for i in (98, 99, 100)}
