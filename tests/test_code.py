@@ -197,3 +197,40 @@ def test_languages(spark):
     rows = spark.createDataFrame([(p, c) for p, (c, _) in table.items()], "path string, content string")
     assert {r.path: r.language for r in code.with_language(rows).collect()} == {p: language for p, (_, language) in table.items()}
     assert len(code.EXTENSIONS) >= 77
+
+
+def test_shingle_hashes_and_parts(spark):
+    import random
+    import re
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [None, "", "one two", "Ab, cd! é-f GH 12x"] + [" ".join(rng.choice(["Foo", "bar", "x1", "é", "ü-z", "Q"]) for _ in range(rng.randrange(60))) for _ in range(50)]
+    for text, (hashes,) in zip(texts, similarity.gram_hashes(texts, similarity.FNV)):
+        terms = re.findall("[a-z0-9]+", (text or "").replace("É", "-").lower())
+        assert hashes.tolist() == [similarity.fnv1a(" ".join(terms[i : i + 3]).encode()) for i in range(len(terms) - 2)]
+    parts, draw = similarity.Parts(0.82), np.random.default_rng(3)
+    for n in (8, 9, 11, 30, 100, 700):
+        for _ in range(20):
+            a = draw.integers(0, 1 << 63, n).astype(np.uint64)
+            gone = draw.integers(0, int(n * 0.18) + 1)
+            b = np.r_[a[gone:], draw.integers(0, 1 << 63, max(0, int((n - gone) / 0.82 + 1e-9) - n)).astype(np.uint64)]
+            if len(b) < 8 or n - gone < 0.82 * len(np.union1d(a, b)):
+                continue
+            x, y = ({k: (role, least) for role, least, keys in parts.postings(np.unique(s)) for k in keys.tolist()} for s in (a, b))
+            met = [max(x[k][1], y[k][1]) for k in x.keys() & y.keys() if x[k][0] + y[k][0] < 2]
+            assert met and len(met) >= max(met)
+
+
+def test_common_passage_makes_no_candidates(spark, monkeypatch):
+    own = iter(f"w{i}" for i in range(10**6))
+    note = [f"license{i}" for i in range(60)]
+    texts = [[next(own) for _ in range(40)] + note for _ in range(150)] + [note]
+    texts += [texts[0][1:], texts[3] + ["more", "words"], texts[5]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    checked, known = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df, label: (out := known(df, label), checked.append(out.count()) if label == "met" else 0)[0])
+    found = {(r.left, r.right): r.jaccard for r in similarity.exact_pairs(docs).collect()}
+    assert set(found) == {(0, 151), (3, 152)} and found[0, 151] == round(97 / 98, 4)
+    assert checked and checked[0] < 150  # of 11,175 pairs that share the passage
