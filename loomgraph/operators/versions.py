@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.session import materialize, ship_package
+from loomgraph.session import materialize, ship_package, unbroadcast
 
 #: (columns that must agree besides kind and name, columns that must not be empty, only where both sides have one).
 PASSES = [
@@ -126,24 +126,24 @@ def move_candidates(removed: DataFrame, added: DataFrame, threshold: float = THR
     other = (F.col("r_kind") == F.col("a_kind")) & (F.col("r_path") != F.col("a_path"))
     pairs = []
     for c in ("fingerprint", "body"):
-        pairs.append(r.filter(f"r_{c} <> ''").join(a.filter(f"a_{c} <> ''"), other & (F.col(f"r_{c}") == F.col(f"a_{c}"))).select("r_id", "a_id"))
+        pairs.append(r.filter(f"r_{c} <> ''").join(unbroadcast(a.filter(f"a_{c} <> ''")), other & (F.col(f"r_{c}") == F.col(f"a_{c}"))).select("r_id", "a_id"))
     both = r.select("r_kind", F.explode("r_tokens").alias("token")).unionByName(a.select(F.col("a_kind").alias("r_kind"), F.explode("a_tokens").alias("token")))
     df = both.groupBy("r_kind", "token").count()
 
     def prefix(side: DataFrame, p: str) -> DataFrame:
-        exploded = side.select(f"{p}_id", f"{p}_path", F.col(f"{p}_kind").alias("r_kind"), F.size(f"{p}_tokens").alias("n"), F.explode(f"{p}_tokens").alias("token")).join(df, ["r_kind", "token"])
+        exploded = side.select(f"{p}_id", f"{p}_path", F.col(f"{p}_kind").alias("r_kind"), F.size(f"{p}_tokens").alias("n"), F.explode(f"{p}_tokens").alias("token")).join(unbroadcast(df), ["r_kind", "token"])
         nth = F.row_number().over(Window.partitionBy(f"{p}_id").orderBy("count", "token"))
         # the similarity is rounded to hundredths, so threshold - .005 is what a pair must really reach
         return exploded.withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.lit(threshold - 0.005) * F.col("n") - 1e-9) + 1)
 
-    near = prefix(r, "r").join(prefix(a, "a").select("a_id", "a_path", "r_kind", "token"), ["r_kind", "token"]).filter("r_path <> a_path")
+    near = prefix(r, "r").join(unbroadcast(prefix(a, "a").select("a_id", "a_path", "r_kind", "token")), ["r_kind", "token"]).filter("r_path <> a_path")
     pairs.append(near.select("r_id", "a_id"))
     bare = [r.filter("size(r_tokens) = 0").select("r_id", "r_kind", "r_path"), a.filter("size(a_tokens) = 0").select("a_id", "a_kind", "a_path")]
-    pairs.append(bare[0].join(bare[1], other).select("r_id", "a_id"))
+    pairs.append(bare[0].join(unbroadcast(bare[1]), other).select("r_id", "a_id"))
     whole = pairs[0]
     for p in pairs[1:]:
         whole = whole.unionByName(p)
-    scored = whole.distinct().join(r, "r_id").join(a, "a_id")
+    scored = whole.distinct().join(unbroadcast(r), "r_id").join(unbroadcast(a), "a_id")
     union = F.size(F.array_union("r_tokens", "a_tokens"))
     alike = F.when(union == 0, 1.0).otherwise(F.floor(F.size(F.array_intersect("r_tokens", "a_tokens")) / union * 100 + 0.5) / 100)
     same = lambda c: (F.col(f"r_{c}") != "") & (F.col(f"r_{c}") == F.col(f"a_{c}"))
@@ -160,14 +160,14 @@ def reconcile_moves(edges: DataFrame, margin: float = MARGIN) -> DataFrame:
     while not open_.isEmpty():
         first = open_.groupBy("a").agg(F.min("r").alias("first"))
         ranked = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("score"), "a"))
-        mine = open_.join(first, "a").withColumn("nth", ranked).groupBy("r").agg(
+        mine = open_.join(unbroadcast(first), "a").withColumn("nth", ranked).groupBy("r").agg(
             F.bool_and(F.col("first") == F.col("r")).alias("safe"), F.max(F.when(F.col("nth") == 1, F.struct("a", "score"))).alias("best"), F.max(F.when(F.col("nth") == 2, F.col("score"))).alias("second")
         ).filter("safe")
         unsure = F.coalesce(F.round(F.col("best.score") - F.col("second"), 6) < margin, F.lit(False))
         now = materialize(mine.select("r", F.col("best.a").alias("a"), F.col("best.score").alias("score"), unsure.alias("ambiguous")), "moves-settled")
         done = now if done is None else done.unionByName(now)
         taken = now.filter("not ambiguous").select("a")
-        open_ = materialize(open_.join(now.select("r"), "r", "left_anti").join(taken, "a", "left_anti"), "moves")
+        open_ = materialize(open_.join(unbroadcast(now.select("r")), "r", "left_anti").join(unbroadcast(taken), "a", "left_anti"), "moves")
     return edges.select("r", "a", "score", F.lit(False).alias("ambiguous")).limit(0) if done is None else done
 
 

@@ -132,3 +132,10 @@ def test_history_skips_large_commits_and_binary_texts(spark):
     texts = spark.createDataFrame([(1, "AbC"), (2, "a\x00bc"), (3, None)], "doc_id int, text string")
     assert [(r.doc_id, r.pattern) for r in history.grep(texts, ["ABC", "b"]).collect()] == [(1, "abc"), (1, "b"), (2, "b")]
     assert [r.doc_id for r in history.grep(texts, ["b"], binary=False).collect()] == [1]
+
+
+def test_joins_of_moves_stay_off_the_driver(spark):
+    rng = random.Random(6)
+    table = lambda rows: spark.createDataFrame(rows, ENTITY)
+    found = versions.move_candidates(table(entities(rng, 20, 0)), table(entities(rng, 20, 1000)))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
