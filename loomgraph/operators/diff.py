@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.session import unbroadcast
+
+EXACT_SIZES = 16
 
 
 def pair(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -29,21 +32,30 @@ def pair(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
 def rename_candidates(removed: DataFrame, added: DataFrame, threshold: float) -> DataFrame:
     """Removed and added entities of one kind whose token sets are alike by Jaccard, the best added per removed (ties: smaller id).
 
-    (id, kind, tokens array). Two sets that are this alike share one of the first n - ceil(threshold n) + 1 tokens of either, rarest first,
-    so only those meet: a token that all of a kind have joins nothing unless a set has no rarer ones."""
+    (id, kind, tokens array). Two sets of n and m tokens that are this alike share at least o = ceil(threshold (n + m) / (1 + threshold)),
+    hence one of the first n - o + 1 and m - o + 1 of theirs, rarest first. So a set meets others by as many tokens as their size asks for,
+    and a token that many have joins only sets whose sizes leave room for it. Sizes over EXACT_SIZES are taken in steps of a tenth."""
     side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), "kind", F.array_distinct("tokens").alias(f"{p}_tokens")).filter(F.size(f"{p}_tokens") > 0)
     r, a = side(removed, "old"), side(added, "new")
     tokens = lambda df, p: df.select("kind", f"{p}_id", F.size(f"{p}_tokens").alias("n"), F.explode(f"{p}_tokens").alias("token"))
     counts = tokens(r, "old").select("kind", "token").unionByName(tokens(a, "new").select("kind", "token")).groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
 
+    def step(n):
+        return F.when(n <= EXACT_SIZES, n).otherwise(EXACT_SIZES + F.floor(F.log(n / EXACT_SIZES) / F.log(F.lit(1.1)))).cast("int")
+
     def first(df: DataFrame, p: str) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy(f"{p}_id", "kind").orderBy("df", "token"))
-        ranked = tokens(df, p).join(counts, ["kind", "token"]).withColumn("nth", nth)
-        return ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("kind", "token", f"{p}_id")
+        ranked = tokens(df, p).join(unbroadcast(counts), ["kind", "token"]).withColumn("nth", nth)
+        others = F.explode(F.sequence(step(F.ceil(F.col("n") * threshold - 1e-9)), step(F.floor(F.col("n") / threshold + 1e-9)))).alias("other")
+        ranked = ranked.select("kind", "token", f"{p}_id", "n", "nth", step(F.col("n")).alias("own"), others)
+        least = F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.when(F.col("other") <= EXACT_SIZES, F.col("other")).otherwise(F.floor(EXACT_SIZES * F.pow(F.lit(1.1), F.col("other") - EXACT_SIZES)) - 1))
+        share = F.ceil((F.col("n") + least) * threshold / (1 + threshold) - 1e-9)
+        ranked = ranked.filter(F.col("nth") <= F.col("n") - share + 1)
+        return ranked.select("kind", "token", f"{p}_id", *[F.col(c).alias(to) for c, to in zip(("own", "other"), ("old_step", "new_step") if p == "old" else ("new_step", "old_step"))])
 
-    met = first(r, "old").join(first(a, "new"), ["kind", "token"]).select("kind", "old_id", "new_id").distinct()
+    met = first(r, "old").join(unbroadcast(first(a, "new")), ["kind", "token", "old_step", "new_step"]).select("kind", "old_id", "new_id").distinct()
     both = F.size(F.array_intersect("old_tokens", "new_tokens"))
-    scored = met.join(r, ["kind", "old_id"]).join(a, ["kind", "new_id"]).withColumn("exact", both / (F.size("old_tokens") + F.size("new_tokens") - both))
+    scored = met.join(unbroadcast(r), ["kind", "old_id"]).join(unbroadcast(a), ["kind", "new_id"]).withColumn("exact", both / (F.size("old_tokens") + F.size("new_tokens") - both))
     scored = scored.withColumn("similarity", F.round("exact", 4)).filter(F.col("exact") >= threshold)
     best = Window.partitionBy("old_id").orderBy(F.desc("similarity"), "new_id")
     return scored.withColumn("n", F.row_number().over(best)).filter("n = 1").select("old_id", "new_id", "similarity")

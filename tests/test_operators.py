@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
-from loomgraph.operators import queryterms, ranges, versions
+from loomgraph.operators import diff, queryterms, ranges, versions
 from loomgraph.sources import history
 
 ENTITY = "id long, path string, kind string, name string, signature string, body string, fingerprint string, pos long"
@@ -139,3 +139,24 @@ def test_joins_of_moves_stay_off_the_driver(spark):
     table = lambda rows: spark.createDataFrame(rows, ENTITY)
     found = versions.move_candidates(table(entities(rng, 20, 0)), table(entities(rng, 20, 1000)))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_rename_candidates_by_size_equal_brute_force(spark, threshold):
+    rng = random.Random(7)
+    def side(first):
+        out = []
+        for i in range(120):
+            base = random.Random(i // 2).sample(range(90), rng.choice([1, 2, 4, 5, 15, 17, 30, 60]))
+            out.append((first + i, "k", [f"t{x}" for x in base if rng.random() < 0.9] + [f"own{first + i}"] * rng.choice([0, 1])))
+        return out
+
+    removed, added = side(0), side(1000)
+    want = set()
+    for i, _, a in removed:
+        scored = [(-round(len({*a} & {*b}) / len({*a} | {*b}), 4), j) for j, _, b in added if a and b and len({*a} & {*b}) / len({*a} | {*b}) >= threshold]
+        want |= {(i, min(scored)[1])} if scored else set()
+    table = lambda rows: spark.createDataFrame(rows, "id long, kind string, tokens array<string>")
+    found = diff.rename_candidates(table(removed), table(added), threshold)
+    assert {(r.old_id, r.new_id) for r in found.collect()} == want and len(want) > 10
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
