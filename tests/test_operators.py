@@ -160,3 +160,35 @@ def test_rename_candidates_by_size_equal_brute_force(spark, threshold):
     found = diff.rename_candidates(table(removed), table(added), threshold)
     assert {(r.old_id, r.new_id) for r in found.collect()} == want and len(want) > 10
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_top_moves_no_terms(spark, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    from loomgraph.operators import search
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["Alpha", "beta", "é", "x1", "gamma,", "delta"]) for _ in range(rng.randrange(12)))) for i in range(60)] + [(60, None), (61, "")]
+    queries = [(1, "alpha"), (1, "x1"), (2, "gamma"), (2, "gamma"), (3, "nowhere")]
+    cut = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in docs}
+    average = sum(max(1, len(t)) for t in cut.values()) / len(cut)
+    df = Counter(t for words in cut.values() for t in set(words))
+    want = set()
+    for q in (1, 2, 3):
+        asked, scored = {t for i, t in queries if i == q}, []
+        for i, words in cut.items():
+            tf = Counter(w for w in words if w in asked)
+            if tf:
+                score = sum(math.log(1 + (len(cut) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words) / average)) for t, n in tf.items())
+                scored.append((-round(score, 4), i, len(tf)))
+        want |= {(q, i, -s, m, k) for k, (s, i, m) in enumerate(sorted(scored)[:7], 1)}
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(queries, "query long, term string")
+    for cells in (search.CELLS, 9):
+        monkeypatch.setattr(search, "CELLS", cells)
+        found = search.bm25_top(table, asked, 7)
+        assert {(r["query"], r.doc_id, r.score, r.matched, r["rank"]) for r in found.collect()} == want
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    assert search.bm25_top(table.limit(0), asked, 7).count() == 0 == search.bm25_top(table, asked.limit(0), 7).count()
