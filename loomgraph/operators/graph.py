@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.session import materialize
+from loomgraph.session import materialize, spread
 
 RESOLUTION_TIERS = ["exact", "import_resolved", "type_inferred", "package", "import_external", "name_only", "pattern"]
 DEGREE_TYPES = ("CALLS", "ASYNC_CALLS", "IMPLEMENTS", "OVERRIDES")
@@ -97,7 +97,7 @@ def centrality(degree: Column) -> Column:
 def cochange(commits: DataFrame, max_files: int = 50, at_least: int = 2, top: int = 1000) -> DataFrame:
     """Pairs of paths changed together in at least `at_least` commits; commits of more than max_files paths don't count,
     which bounds the pairs of a commit. commits(commit, path)."""
-    each = commits.distinct()
+    each = spread(commits, "commit").distinct()
     small = each.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, max_files)).select("commit")
     kept = each.join(small, "commit").groupBy("commit").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     pairs = kept.select(F.posexplode("paths").alias("i", "left"), "paths").select("left", F.explode(F.slice("paths", F.col("i") + 2, F.size("paths"))).alias("right"))

@@ -192,3 +192,13 @@ def test_bm25_top_moves_no_terms(spark, monkeypatch):
         assert {(r["query"], r.doc_id, r.score, r.matched, r["rank"]) for r in found.collect()} == want
         assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
     assert search.bm25_top(table.limit(0), asked, 7).count() == 0 == search.bm25_top(table, asked.limit(0), 7).count()
+
+
+def test_edges_are_aggregated_in_parts_by_size(spark, sf, monkeypatch):
+    from loomgraph import session
+    from loomgraph.sources import tables
+
+    parts = lambda: tables.edges(spark, sf).filter("type = 'CONTAINS'").rdd.getNumPartitions()
+    few = parts()
+    monkeypatch.setattr(session, "PART_BYTES", session.PART_BYTES // 5000, raising=False)
+    assert parts() > few
